@@ -65,8 +65,14 @@ def fill_missing_days(
 
     Each day is stretched up to the eve of the group's next one, so no calendar is joined. The
     window holds one row per day of a group, which the calendar bounds.
+
+    The table may grow manyfold here, after the point where adaptive execution has merged small
+    shuffle partitions by their size. The partitioning by group, which this and all later windows
+    need anyway, is therefore asked for with its number of partitions.
     """
     group = list(group_cols)
+    partitions = int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    daily = daily.repartition(partitions, *group)
     if metrics is None:
         metrics = [m for m in FULL_METRICS if m in daily.columns]
     following = F.lead(date_col).over(Window.partitionBy(*group).orderBy(date_col))

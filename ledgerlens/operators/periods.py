@@ -23,7 +23,7 @@ WHISKER = 1.5
 
 
 def _period_values(df, value_col, period, filters, start, end, date_col) -> DataFrame:
-    """(period label, value, number of rows): equal values of a period are counted together."""
+    """(period label, value) of the rows that carry a value."""
     label = PERIODS.get(period)
     if label is None:
         raise ValueError(f"period must be one of {sorted(PERIODS)}")

@@ -29,11 +29,9 @@ def _sketch(value: Column, probs: Sequence[float], accuracy: int) -> Column:
     return F.percentile_approx(value, F.array(*wanted), F.lit(accuracy))
 
 
-def _bracket(sketch: Column, i: int, prob: float, lowest: Column, highest: Column, accuracy: int):
-    low_p, high_p = _brackets(prob, accuracy)
-    low = lowest if low_p <= 0 else sketch[2 * i]
-    high = highest if high_p >= 1 else sketch[2 * i + 1]
-    return low, high
+def _few_rows(accuracy: int) -> int:
+    """Below this number of rows the bracket is narrower than a few ranks, so it is not used."""
+    return 4 * accuracy // _MARGIN
 
 
 def _interpolate(ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,8 +79,11 @@ def exact_quantiles(
         _sketch(F.col("_value"), ps, accuracy).alias("_sketch"),
     )
     wanted = []
+    few = F.col("_count") < _few_rows(accuracy)
     for i, p in enumerate(ps):
-        low, high = _bracket(F.col("_sketch"), i, p, F.col("_lowest"), F.col("_highest"), accuracy)
+        low_p, high_p = _brackets(p, accuracy)
+        low = F.when(few | F.lit(low_p <= 0), F.col("_lowest")).otherwise(F.col("_sketch")[2 * i])
+        high = F.when(few | F.lit(high_p >= 1), F.col("_highest")).otherwise(F.col("_sketch")[2 * i + 1])
         rank = (F.col("_count") - 1) * F.lit(p)
         wanted.append(F.struct(F.lit(i).alias("q"), low.alias("low"), high.alias("high"), rank.alias("rank")))
     brackets = sketch.select(
@@ -127,10 +128,11 @@ def column_quantiles(
     for i, c in enumerate(cols):
         if not found[f"n{i}"]:
             continue
+        few = found[f"n{i}"] < _few_rows(accuracy)
         for j, p in enumerate(ps):
             low_p, high_p = _brackets(p, accuracy)
-            low = found[f"lo{i}"] if low_p <= 0 else found[f"s{i}"][2 * j]
-            high = found[f"hi{i}"] if high_p >= 1 else found[f"s{i}"][2 * j + 1]
+            low = found[f"lo{i}"] if few or low_p <= 0 else found[f"s{i}"][2 * j]
+            high = found[f"hi{i}"] if few or high_p >= 1 else found[f"s{i}"][2 * j + 1]
             rank = (found[f"n{i}"] - 1) * p
             v = values[c]
             entries.append(F.when(v <= F.lit(high), F.struct(

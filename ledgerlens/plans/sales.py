@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame
 
 from ledgerlens.operators.boosted import HYBRID_NUMERIC, KEY, NUMERIC, TARGET, fit_with_params, predict
 from ledgerlens.operators.evaluation import segment_report
@@ -19,7 +19,7 @@ from ledgerlens.operators.filters import split_by_year
 from ledgerlens.operators.forest import BEST_PARAMS as FOREST_PARAMS, ForestModel, fit_forest
 from ledgerlens.operators.joins import align_models, join_scores
 from ledgerlens.operators.quality import apply_all_fixes
-from ledgerlens.schema import DATE, GROUP
+from ledgerlens.schema import GROUP
 from ledgerlens.sources.tables import export_scored, scan_parquet, sink_parquet
 
 
@@ -64,12 +64,3 @@ def compare_models(
     if aligned.isEmpty():
         raise ValueError("no row of the two tables shares its ids")
     return Comparison(baseline, hybrid, aligned, segment_report(aligned))
-
-
-def yearly_rows(df: DataFrame, date_col: str = DATE) -> DataFrame:
-    """Rows per year, the first thing to look at before choosing a split."""
-    return df.groupBy(F.year(date_col).alias("year")).agg(F.count(F.lit(1)).alias("rows")).orderBy("year")
-
-
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    return scan_parquet(spark, path)
