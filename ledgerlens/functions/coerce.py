@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def null_if_nan(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+    return F.nullif(c, F.lit(math.nan))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ copies (which is the duplicate rule), and every other rule is a sum over those.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -64,20 +64,35 @@ def price_check(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def _violations(df: DataFrame, tolerance: float) -> dict[str, Callable[[], Column]]:
-    quantity = lambda: safe_numeric(df, "Quantity")
-    discount = lambda: safe_numeric(df, "Discount")
-    customer = F.col("Customer_Type")
+_TYPED = {"_quantity": "Quantity", "_discount": "Discount"}
+
+
+def _typed(df: DataFrame, rules: Sequence[str]) -> DataFrame:
+    """Read each cell once, ahead of the aggregation, for the rules that look at it."""
+    used = {"_quantity": {"quantity_missing", "quantity_negative"}, "_date": {"order_date_invalid"},
+            "_discount": {"discount_missing", "discount_negative", "discount_above_one", "b2c_discount"},
+            "_diff": {"total_price"}}
+    wanted = {name for name, by in used.items() if by & set(rules)}
+    columns = {name: safe_numeric(df, source) for name, source in _TYPED.items() if name in wanted}
+    if "_date" in wanted:
+        columns["_date"] = safe_datetime(df, DATE)
+    if "_diff" in wanted:
+        columns["_diff"] = price_check(df)["Diff"]
+    return df.withColumns(columns) if columns else df
+
+
+def _violations(tolerance: float) -> dict[str, Column]:
+    quantity, discount, customer = F.col("_quantity"), F.col("_discount"), F.col("Customer_Type")
     return {
-        "quantity_missing": lambda: quantity().isNull(),
-        "quantity_negative": lambda: quantity() < 0,
-        "discount_missing": lambda: discount().isNull(),
-        "discount_negative": lambda: discount() < 0,
-        "discount_above_one": lambda: discount() > 1,
-        "customer_type_invalid": lambda: ~F.coalesce(customer.isin(*CUSTOMER_TYPES), F.lit(False)),
-        "b2c_discount": lambda: (customer == "B2C") & (discount() > 0),
-        "order_date_invalid": lambda: safe_datetime(df, DATE).isNull(),
-        "total_price": lambda: price_check(df)["Diff"] > tolerance,
+        "quantity_missing": quantity.isNull(),
+        "quantity_negative": quantity < 0,
+        "discount_missing": discount.isNull(),
+        "discount_negative": discount < 0,
+        "discount_above_one": discount > 1,
+        "customer_type_invalid": ~F.coalesce(customer.isin(*CUSTOMER_TYPES), F.lit(False)),
+        "b2c_discount": (customer == "B2C") & (discount > 0),
+        "order_date_invalid": F.col("_date").isNull(),
+        "total_price": F.col("_diff") > tolerance,
     }
 
 
@@ -86,7 +101,7 @@ def count_issues(df: DataFrame, rules: Sequence[str], tolerance: float = 0.01) -
     unknown = [r for r in rules if r not in RULES]
     if unknown:
         raise ValueError(f"unknown rules: {unknown}")
-    violations = _violations(df, tolerance)
+    violations = _violations(tolerance)
     if DUPLICATES in rules:
         df = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
         weight = F.col(COPIES)
@@ -94,9 +109,9 @@ def count_issues(df: DataFrame, rules: Sequence[str], tolerance: float = 0.01) -
         weight = F.lit(1).cast("bigint")
     counts = []
     for rule in rules:
-        hits = weight - 1 if rule == DUPLICATES else F.when(violations[rule](), weight)
+        hits = weight - 1 if rule == DUPLICATES else F.when(violations[rule], weight)
         counts.append(F.coalesce(F.sum(hits), F.lit(0)).cast("bigint").alias(rule))
-    return df.agg(*counts)
+    return _typed(df, rules).agg(*counts)
 
 
 def report_rows(counts: DataFrame, rules: dict[str, Rule], with_recommendation: bool = False) -> DataFrame:

@@ -1,10 +1,9 @@
 """Exact interpolated quantiles in bounded memory.
 
 `percentile` keeps every distinct value of a group in one task. Here a bounded sketch first
-brackets each wanted rank, then one pass counts the rows below the bracket and keeps only the
-values inside it. Both passes combine on the map side; the values that are shuffled are the
-thin slice between the brackets. If a bracket ever missed its rank the query stops with an
-error instead of returning a wrong number.
+brackets each wanted rank, then the rows below the bracket are counted and only the values inside
+it are kept. All passes combine on the map side. If a bracket ever missed its rank the query
+stops with an error instead of returning a wrong number.
 """
 
 from __future__ import annotations
@@ -14,8 +13,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ACCURACY = 10_000
-_MARGIN = 20  # bracket half-width in units of the sketch's own rank error
+ACCURACY = 2_000
+_MARGIN = 10          # bracket half-width in units of the sketch's own rank error
+_SLOTS = 1_000        # equal-width pieces of a bracket, of which at most two are sorted
+_SORTED_ROWS = 1_000_000  # a bracket known to hold no more rows is sorted whole
 
 
 def _brackets(prob: float, accuracy: int) -> tuple[float, float]:
@@ -23,34 +24,34 @@ def _brackets(prob: float, accuracy: int) -> tuple[float, float]:
     return max(prob - slack, 0.0), min(prob + slack, 1.0)
 
 
+def _few_rows(accuracy: int) -> int:
+    """Below this number of rows the bracket is narrower than a few ranks, so it is not used."""
+    return 4 * accuracy // _MARGIN
+
+
 def _sketch(value: Column, probs: Sequence[float], accuracy: int) -> Column:
     """low₀, high₀, low₁, high₁, … as one array."""
     wanted = [F.lit(p) for prob in probs for p in _brackets(prob, accuracy)]
     return F.percentile_approx(value, F.array(*wanted), F.lit(accuracy))
 
 
-def _few_rows(accuracy: int) -> int:
-    """Below this number of rows the bracket is narrower than a few ranks, so it is not used."""
-    return 4 * accuracy // _MARGIN
+def _running(df: DataFrame, keys: Sequence[str], order: str, size: str) -> DataFrame:
+    """Add the ranks [_from, _upto) that each row covers."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("_upto", F.sum(size).over(w)).withColumn("_from", F.col("_upto") - F.col(size))
 
 
-def _interpolate(ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """From (keys, _rank, value or null for 'below the bracket', _n) to (keys, _quantile)."""
-    w = Window.partitionBy(*keys).orderBy(F.col("_value").asc_nulls_first())
-    upto = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    covered = ranks.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n"))
+def _covers(rank: Column) -> Column:
+    return (rank >= F.col("_from")) & (rank < F.col("_upto"))
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_upto")), F.col("_value")))
 
-    lower, upper = at(F.floor("_rank")), at(F.ceil("_rank"))
-    share = F.max(F.col("_rank") - F.floor("_rank"))
-    value = lower + (upper - lower) * share
-    return covered.groupBy(*keys).agg(
-        F.when(value.isNotNull(), value)
-        .otherwise(F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double"))
-        .alias("_quantile")
-    )
+def _pick(covered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _quantile) from values with the ranks they cover."""
+    lower = F.max(F.when(_covers(F.floor("_rank")), F.col("_value")))
+    upper = F.max(F.when(_covers(F.ceil("_rank")), F.col("_value")))
+    value = lower + (upper - lower) * F.max(F.col("_rank") - F.floor("_rank"))
+    missed = F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double")
+    return covered.groupBy(*keys).agg(F.when(value.isNotNull(), value).otherwise(missed).alias("_quantile"))
 
 
 def exact_quantiles(
@@ -66,6 +67,9 @@ def exact_quantiles(
     Null values and NaN are ignored, groups without a value are absent, null group keys are
     kept. `bounded_groups` says that the number of groups has a fixed bound (flags, calendar
     periods), which makes the bracket table safe to broadcast.
+
+    Each bracket is divided into slots of equal width; the slots are counted and only those
+    holding the wanted ranks are sorted, so no task sorts a group or even a whole bracket.
     """
     groups = list(group_cols)
     names, ps = list(probs), list(probs.values())
@@ -78,8 +82,8 @@ def exact_quantiles(
         F.max("_value").alias("_highest"),
         _sketch(F.col("_value"), ps, accuracy).alias("_sketch"),
     )
-    wanted = []
     few = F.col("_count") < _few_rows(accuracy)
+    wanted = []
     for i, p in enumerate(ps):
         low_p, high_p = _brackets(p, accuracy)
         low = F.when(few | F.lit(low_p <= 0), F.col("_lowest")).otherwise(F.col("_sketch")[2 * i])
@@ -95,15 +99,30 @@ def exact_quantiles(
     for i, g in enumerate(groups):
         same_group = same_group & F.col(g).eqNullSafe(F.col(f"_key_{i}"))
     joined = rows.join(brackets, same_group).select(*groups, "_value", F.explode("_wanted").alias("_w"))
-    inside = joined.where(F.col("_value") <= F.col("_w.high")).select(
-        *groups,
-        F.col("_w.q").alias("_q"),
-        F.col("_w.rank").alias("_rank"),
-        F.when(F.col("_value") >= F.col("_w.low"), F.col("_value")).alias("_value"),
-    )
-    ranks = inside.groupBy(*groups, "_q", "_rank", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    values = _interpolate(ranks, [*groups, "_q"])
-    return values.groupBy(*groups).agg(
+    v, low, high = F.col("_value"), F.col("_w.low"), F.col("_w.high")
+    slot = F.when(v < low, -1).when(high > low, F.least(
+        F.floor((v - low) / (high - low) * _SLOTS), F.lit(_SLOTS - 1))).otherwise(0)
+    # Rows under the bracket share one null value, so they shrink to a count on the map side.
+    counted = joined.where(v <= high).select(
+        *groups, F.col("_w.q").alias("_q"), F.col("_w.rank").alias("_rank"),
+        slot.cast("int").alias("_slot"), F.when(v >= low, v).alias("_value"),
+    ).groupBy(*groups, "_q", "_rank", "_slot", "_value").agg(F.count(F.lit(1)).alias("_n"))
+
+    keys = [*groups, "_q"]
+    slots = counted.groupBy(*keys, "_rank", "_slot").agg(F.sum("_n").alias("_slot_rows"))
+    needed = _running(slots, keys, "_slot", "_slot_rows").where(
+        _covers(F.floor("_rank")) | _covers(F.ceil("_rank")))
+    needed = needed.select(
+        *[F.col(g).alias(f"_key_{i}") for i, g in enumerate(keys)],
+        F.col("_slot").alias("_needed"), F.col("_from").alias("_start"))
+    if bounded_groups:
+        needed = F.broadcast(needed)  # at most two rows per group and probability
+    same = F.col("_slot") == F.col("_needed")
+    for i, g in enumerate(keys):
+        same = same & F.col(g).eqNullSafe(F.col(f"_key_{i}"))
+    inside = _running(counted.join(needed, same), [*keys, "_slot"], "_value", "_n").withColumns(
+        {"_from": F.col("_from") + F.col("_start"), "_upto": F.col("_upto") + F.col("_start")})
+    return _pick(inside, keys).groupBy(*groups).agg(
         *[F.max(F.when(F.col("_q") == i, F.col("_quantile"))).alias(n) for i, n in enumerate(names)])
 
 
@@ -112,10 +131,12 @@ def column_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of several columns over the whole table, as numbers for a fitted model.
 
-    Runs two scans; what reaches the driver is one number per column and probability.
+    What reaches the driver is one number per column and probability. A bracket whose ends are
+    equal names its value at once; another one that holds few rows is sorted; a larger one is
+    left to `exact_quantiles`.
     """
     cols, ps = list(columns), list(probs)
-    values = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    values = {c: F.nullif(F.col(c).cast("double"), F.lit(math.nan)) for c in cols}
     measures = []
     for i, c in enumerate(cols):
         measures += [
@@ -124,7 +145,8 @@ def column_quantiles(
         ]
     found = df.agg(*measures).first()
 
-    entries = []
+    result: dict[str, list[float | None]] = {c: [None] * len(ps) for c in cols}
+    brackets = {}
     for i, c in enumerate(cols):
         if not found[f"n{i}"]:
             continue
@@ -133,24 +155,56 @@ def column_quantiles(
             low_p, high_p = _brackets(p, accuracy)
             low = found[f"lo{i}"] if few or low_p <= 0 else found[f"s{i}"][2 * j]
             high = found[f"hi{i}"] if few or high_p >= 1 else found[f"s{i}"][2 * j + 1]
-            rank = (found[f"n{i}"] - 1) * p
-            v = values[c]
-            entries.append(F.when(v <= F.lit(high), F.struct(
-                F.lit(i).alias("c"), F.lit(j).alias("q"), F.lit(float(rank)).alias("rank"),
-                F.when(v >= F.lit(low), v).alias("value"))))
-    result: dict[str, list[float | None]] = {c: [None] * len(ps) for c in cols}
-    if not entries:
+            brackets[i, j] = (low, high, (found[f"n{i}"] - 1) * p)
+    if not brackets:
         return result
-    marked = df.select(F.explode(F.array(*entries)).alias("_e")).where(F.col("_e").isNotNull())
-    ranks = marked.select(
-        F.col("_e.c").alias("_c"), F.col("_e.q").alias("_q"),
-        F.col("_e.rank").alias("_rank"), F.col("_e.value").alias("_value"),
-    ).groupBy("_c", "_q", "_rank", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    for row in _interpolate(ranks, ["_c", "_q"]).collect():
-        result[cols[row["_c"]]][row["_q"]] = row["_quantile"]
+
+    counts = []
+    for (i, j), (low, high, _) in brackets.items():
+        v = values[cols[i]]
+        counts += [F.count(F.when(v < F.lit(low), 1)).alias(f"b{i}_{j}"),
+                   F.count(F.when((v >= F.lit(low)) & (v <= F.lit(high)), 1)).alias(f"k{i}_{j}")]
+    under = df.agg(*counts).first()
+
+    to_sort, too_large = [], []
+    for (i, j), (low, high, rank) in brackets.items():
+        below, held = under[f"b{i}_{j}"], under[f"k{i}_{j}"]
+        if not below <= math.floor(rank) <= math.ceil(rank) < below + held:
+            raise RuntimeError("quantile bracket missed its rank; raise accuracy")
+        if low == high:
+            result[cols[i]][j] = low
+        elif held <= _SORTED_ROWS:
+            to_sort.append((i, j, float(rank), below, float(low), float(high)))
+        else:
+            too_large.append((i, j))
+    for (i, j), value in _sorted_brackets(df, cols, values, to_sort).items():
+        result[cols[i]][j] = value
+    for i, j in too_large:
+        one = df.select(F.lit(1).alias("_all"), values[cols[i]].alias("_v"))
+        result[cols[i]][j] = exact_quantiles(one, "_v", {"_x": ps[j]}, ["_all"], accuracy, True).first()["_x"]
     return result
 
 
+def _sorted_brackets(df, cols, values, brackets) -> dict[tuple[int, int], float]:
+    """The quantile of each bracket (column, probability, rank, rows below, low, high) by sorting it."""
+    if not brackets:
+        return {}
+    entries = []
+    for i, j, _, _, low, high in brackets:
+        v = values[cols[i]]
+        entries.append(F.when((v >= F.lit(low)) & (v <= F.lit(high)), F.struct(
+            F.lit(i).alias("c"), F.lit(j).alias("q"), v.alias("value"))))
+    inside = df.select(F.explode(F.array_compact(F.array(*entries))).alias("_e")).select(
+        F.col("_e.c").alias("_c"), F.col("_e.q").alias("_q"), F.col("_e.value").alias("_value"))
+    counted = inside.groupBy("_c", "_q", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per column and probability.
+    starts = F.broadcast(df.sparkSession.createDataFrame(
+        [b[:4] for b in brackets], "_c int, _q int, _rank double, _start bigint"))
+    covered = _running(counted.join(starts, ["_c", "_q"]), ["_c", "_q"], "_value", "_n").withColumns(
+        {"_from": F.col("_from") + F.col("_start"), "_upto": F.col("_upto") + F.col("_start")})
+    return {(r["_c"], r["_q"]): r["_quantile"] for r in _pick(covered, ["_c", "_q"]).collect()}
+
+
 def robust_center_scale(
     df: DataFrame, columns: Sequence[str], accuracy: int = ACCURACY
 ) -> tuple[dict[str, float], dict[str, float]]:

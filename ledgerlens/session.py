@@ -19,12 +19,21 @@ def local_session(cores: str = "*", app: str = "ledgerlens", partitions: int = 8
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Small files on one machine: row groups and splits small enough to occupy every core.
+        .config("spark.hadoop.parquet.block.size", str(2 << 20))
+        .config("spark.sql.files.openCostInBytes", str(256 << 10))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def split_hot_keys(spark: SparkSession) -> SparkSession:
+    """Let adaptive execution split a hot key of a join even where a later step relied on its partitioning."""
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
@@ -50,6 +59,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Run `df` once and continue from the files written, which outlive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Run `df` once into Parquet below the shared folder and continue from those files.
+
+    The files outlive lost executors, and later steps read only the columns they use.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

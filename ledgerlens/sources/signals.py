@@ -15,14 +15,18 @@ MAX_SENSORS = 4
 
 
 def scan_signal_files(spark: SparkSession, path: str, max_sensors: int | None = None) -> DataFrame:
-    """(file_name, sensor, value), one row per number; sensors count from 1."""
+    """(folder, file_name, sensor, value), one row per number; sensors count from 1.
+
+    `path` may be one run folder or a pattern for many; `folder` is the name of the file's own.
+    """
     cells = F.split(F.trim("value"), r"\s+")
     lines = spark.read.text(path).where(F.trim("value") != "").select(
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("folder"),
         F.col("_metadata.file_name").alias("file_name"),
         (cells if max_sensors is None else F.slice(cells, 1, max_sensors)).alias("_cells"),
     )
-    return lines.select("file_name", F.posexplode("_cells").alias("_i", "_cell")).select(
-        "file_name", (F.col("_i") + 1).cast("int").alias("sensor"),
+    return lines.select("folder", "file_name", F.posexplode("_cells").alias("_i", "_cell")).select(
+        "folder", "file_name", (F.col("_i") + 1).cast("int").alias("sensor"),
         null_if_nan(F.col("_cell").try_cast("double")).alias("value"))
 
 

@@ -96,12 +96,10 @@ def scan_signal_files(spark, sf):
     events = views.signals(spark, sf)
     events.select("run_id", F.concat_ws("  ", "value", F.col("value") * 2).alias("value")).write.partitionBy(
         "run_id").text(path)
-    runs = spark.read.text(path).select(
-        F.col("run_id").cast("bigint"), F.col("_metadata.file_name").alias("file_name")).distinct()
     read = sensor.scan_signal_files(spark, f"{path}/*", max_sensors=4)
-    totals = read.groupBy("file_name", "sensor").agg(F.count("value").alias("n"), F.sum("value").alias("s"))
-    return totals.join(runs, "file_name").groupBy("run_id", "sensor").agg(
-        F.sum("n").alias("readings"), (F.round(F.sum("s"), 4) + 0.0).alias("total"))
+    run = F.split("folder", "=")[1].cast("bigint").alias("run_id")
+    return read.groupBy(run, "sensor").agg(
+        F.count("value").alias("readings"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
 
 
 STATS = ["mean", "std", "var", "rms", "peak", "shape_factor"]
@@ -523,9 +521,9 @@ def outlier_zscore_rolling(spark, sf):
         views.sales(spark, sf), "Quantity", method="zscore", z_threshold=2.0, moving_window=14))
 
 
-@query("rolling_iqr_band", _banded(_iqr_rolling(30), "avg(Quantity)"))
+@query("rolling_iqr_band", _banded(_iqr_rolling(30), "quantile_cont(Quantity, 0.5)"))
 def rolling_iqr_band(spark, sf):
-    return tidy(rolling_band(daily_series(views.sales(spark, sf), "Quantity", "mean"), "Quantity", 30))
+    return tidy(rolling_band(daily_series(views.sales(spark, sf), "Quantity", "median"), "Quantity", 30))
 
 
 @query("rolling_zscore_band", _banded(_z_rolling(30, 3.0), "avg(Quantity)"))
