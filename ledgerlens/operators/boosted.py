@@ -156,7 +156,7 @@ def fit_with_params(
 def fit_with_search(
     df: DataFrame, grid: Mapping[str, Sequence] = PARAM_GRID, numeric: Sequence[str] = NUMERIC,
     categorical: Sequence[str] = CATEGORICAL, target: str = TARGET, folds: int = 3, seed: int = 3,
-    key_cols: Sequence[str] = KEY, parallelism: int = 2,
+    key_cols: Sequence[str] = KEY, parallelism: int = 4,
 ) -> tuple[PipelineModel, DataFrame, dict]:
     """Cross-validated grid search on RMSE: best model, one row per combination, best parameters.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerlens.session import fresh_path, materialise
-from workload.sql import digits
+from workload.sql import SHIFT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 def tidy(df: DataFrame) -> DataFrame:
     """Round every measure, and write zero without a sign."""
     return df.select([
-        (F.round(F.col(f.name), digits(f.name)) + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+        (F.round(F.col(f.name) + SHIFT, 6) + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType)
         else F.col(f.name) for f in df.schema.fields])
 
 

@@ -367,7 +367,7 @@ BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
     + " from m group by year_month_label", m=MONTHLY_SQL))
 def monthly_product_pivot(spark, sf):
     pivot = periods.monthly_product_pivot(_monthly(spark, sf), BRANDS)
-    return pivot.select("year_month_label", *[(F.round(f"`{b}`", 6) + 0.0).alias(b) for b in BRANDS])
+    return pivot.select("year_month_label", *[(F.round(F.col(f"`{b}`") + sql.SHIFT, 6) + 0.0).alias(b) for b in BRANDS])
 
 
 @query("anomaly_summary", using("scores", f"""select Product, Region, count(anomaly_flag) as total_rows,
@@ -471,7 +471,7 @@ def period_distribution(spark, sf):
 def period_density(spark, sf):
     out = periods.period_density(views.sales(spark, sf), "Total_Price", "year", log_scale=True)
     return out.select("Year", "point", (F.round("density", 9) + 0.0).alias("density"), *[
-        (F.round(c, 6) + 0.0).alias(c) for c in ("grid_value", "median", "log_value")])
+        (F.round(F.col(c) + sql.SHIFT, 6) + 0.0).alias(c) for c in ("grid_value", "median", "log_value")])
 
 
 # Series and outliers -------------------------------------------------------------------------
