@@ -119,21 +119,25 @@ class Ensemble:
 
     def explain(self, x: np.ndarray) -> np.ndarray:
         """Attributions, rows × features."""
-        out = np.zeros((len(x), self.width))
-        for g in self.groups:
-            leaves = len(g["value"])
-            step = max(1, _BATCH_CELLS // (leaves * g["m"] * (1 if "table" in g else g["m"])))
-            bit = 1 << np.arange(g["m"])
-            for start in range(0, len(x), step):
-                cells = x[start:start + step][:, g["feature"]]
-                present = (cells > g["lower"]) & (cells <= g["upper"])
-                if "table" in g:
-                    part = g["table"][np.arange(leaves), present @ bit]
-                else:
-                    part = shapley(present.astype(float), g["share"]) * g["value"][:, None]
-                flat = part.reshape(len(cells), -1)[:, g["order"]]
-                out[start:start + step, g["columns"]] += np.add.reduceat(flat, g["starts"], axis=1)
-        return out
+        return explain_rows(self.groups, self.width, x)
+
+
+def explain_rows(groups: Sequence[Mapping], width: int, x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), width))
+    for g in groups:
+        leaves = len(g["value"])
+        step = max(1, _BATCH_CELLS // (leaves * g["m"] * (1 if "table" in g else g["m"])))
+        bit = 1 << np.arange(g["m"])
+        for start in range(0, len(x), step):
+            cells = x[start:start + step][:, g["feature"]]
+            present = (cells > g["lower"]) & (cells <= g["upper"])
+            if "table" in g:
+                part = g["table"][np.arange(leaves), present @ bit]
+            else:
+                part = shapley(present.astype(float), g["share"]) * g["value"][:, None]
+            flat = part.reshape(len(cells), -1)[:, g["order"]]
+            out[start:start + step, g["columns"]] += np.add.reduceat(flat, g["starts"], axis=1)
+    return out
 
 
 def forest_nodes(model: ForestModel) -> pd.DataFrame:
@@ -193,13 +197,15 @@ class Explainer:
         return self.ensemble.base
 
     def arrays(self, df: DataFrame) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(self.ensemble)
+        # Plain arrays, whose size the training parameters bound.
+        shared = df.sparkSession.sparkContext.broadcast(self.ensemble.groups)
+        width = self.ensemble.width
 
         @F.pandas_udf("array<double>")
         def explain(values: pd.Series) -> pd.Series:
             if not len(values):
                 return pd.Series([], dtype=object)
-            return pd.Series(list(shared.value.explain(np.stack(values.to_numpy()))))
+            return pd.Series(list(explain_rows(shared.value, width, np.stack(values.to_numpy()))))
 
         prepared = self.prepare(df).select(*[F.col(c) for c in df.columns], self.inputs.alias(VALUES))
         return prepared.withColumn(SHAP, explain(VALUES))
