@@ -24,7 +24,7 @@ from ledgerlens.operators.boosted import feature_names
 from ledgerlens.operators.evaluation import critical_corrections
 from ledgerlens.operators.anomalies import top_anomalies
 from ledgerlens.operators.forest import ForestModel, average_path_length, scaled_name
-from ledgerlens.session import fresh_path
+from ledgerlens.session import fresh_path, materialise
 
 # Tasks receive these helpers by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -270,7 +270,11 @@ def shap_importance(long: DataFrame) -> DataFrame:
 
 
 def shap_summary(long: DataFrame) -> DataFrame:
-    """Rows behind a summary plot: attribution and the value scaled to 0…1 within its feature."""
+    """Rows behind a summary plot: attribution and the value scaled to 0…1 within its feature.
+
+    `long` is read twice and is written out first, so that rows are explained once.
+    """
+    long = materialise(long)
     # One row per feature of the model.
     ranges = F.broadcast(long.groupBy("feature").agg(F.min("value").alias("_low"), F.max("value").alias("_high")))
     spread = F.col("_high") - F.col("_low")

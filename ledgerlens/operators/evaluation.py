@@ -58,9 +58,15 @@ def segment_report(
         F.max("baseline_abs_error").alias("baseline_max_ae"),
         F.max("anomaly_abs_error").alias("anomaly_model_max_ae"),
     )
-    for model, error in (("baseline", "baseline_abs_error"), ("anomaly_model", "anomaly_abs_error")):
-        median = exact_quantiles(errors, error, {f"{model}_median_ae": 0.5}, [flag_col], bounded_groups=True)
-        report = report.join(F.broadcast(median), flag_col, "left")
+    # Both medians from one pass over (segment, model, error).
+    by_model = errors.select(flag_col, F.inline(F.array(
+        F.struct(F.lit("baseline").alias("_model"), F.col("baseline_abs_error").alias("_error")),
+        F.struct(F.lit("anomaly_model").alias("_model"), F.col("anomaly_abs_error").alias("_error")))))
+    medians = exact_quantiles(by_model, "_error", {"_median": 0.5}, [flag_col, "_model"], bounded_groups=True)
+    medians = medians.groupBy(flag_col).agg(*[
+        F.max(F.when(F.col("_model") == m, F.col("_median"))).alias(f"{m}_median_ae")
+        for m in ("baseline", "anomaly_model")])
+    report = report.join(F.broadcast(medians), flag_col, "left")
     for metric in ("mae", "rmse"):
         gain = F.col(f"baseline_{metric}") - F.col(f"anomaly_model_{metric}")
         report = report.withColumn(f"{metric}_improvement", gain).withColumn(

@@ -20,6 +20,7 @@ from ledgerlens.operators.forest import BEST_PARAMS as FOREST_PARAMS, ForestMode
 from ledgerlens.operators.joins import align_models, join_scores
 from ledgerlens.operators.quality import apply_all_fixes
 from ledgerlens.schema import GROUP
+from ledgerlens.session import materialise
 from ledgerlens.sources.tables import export_scored, scan_parquet, sink_parquet
 
 
@@ -60,7 +61,7 @@ def compare_models(
     hybrid = fit_with_params(train, hybrid_params or baseline_params, [*numeric, *extra])
     left = predict(baseline, test, "baseline_pred").select(*KEY, TARGET, "baseline_pred")
     right = predict(hybrid, test, "anomaly_pred").select(*KEY, TARGET, "anomaly_flag", "anomaly_pred")
-    aligned = align_models(left, right, KEY)
+    aligned = materialise(align_models(left, right, KEY))
     if aligned.isEmpty():
         raise ValueError("no row of the two tables shares its ids")
     return Comparison(baseline, hybrid, aligned, segment_report(aligned))
