@@ -138,7 +138,9 @@ def tree_params(params: Mapping[str, object]) -> dict[str, object]:
 
 
 def _regressor(target: str, seed: int) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction", seed=seed)
+    # Rows keep the node they reached, and one pass may collect the statistics of many nodes.
+    return GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction", seed=seed,
+                        cacheNodeIds=True, maxMemoryInMB=1024)
 
 
 def fit_with_params(
@@ -148,8 +150,10 @@ def fit_with_params(
     """Train once with known parameters."""
     require_columns(df, [target])
     preprocessor = fit_preprocessor(df, numeric, categorical)
-    ready = preprocessor.transform(df).select("features", F.col(target).cast("double").alias(target))
+    # Training passes over the vectors several times before it keeps its own copy.
+    ready = preprocessor.transform(df).select("features", F.col(target).cast("double").alias(target)).persist()
     model = _regressor(target, seed).setParams(**tree_params(params)).fit(ready)
+    ready.unpersist()
     return PipelineModel([*preprocessor.stages, model])
 
 

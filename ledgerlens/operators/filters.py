@@ -83,16 +83,22 @@ def by_year_category(df: DataFrame, year, category, month=None, product=None) ->
     return membership(df, {"year": year, "Category": category, "month": month, "Product": product})
 
 
-def by_year(df: DataFrame, years, date_col: str = DATE) -> DataFrame:
-    """Rows of the given years, as date ranges so that the scan can skip files."""
+def by_year(df: DataFrame, years, date_col: str = DATE, year_col: str | None = None) -> DataFrame:
+    """Rows of the given years, as date ranges so that the scan can skip row groups.
+
+    For a table written by year, `year_col` names that column and whole folders are skipped too.
+    """
+    wanted = as_list(years)
     cond = F.lit(False)
-    for y in as_list(years):
+    for y in wanted:
         cond = cond | ((F.col(date_col) >= F.lit(date(y, 1, 1))) & (F.col(date_col) < F.lit(date(y + 1, 1, 1))))
-    return df.where(cond)
+    return df.where(cond if year_col is None else cond & F.col(year_col).isin(wanted))
 
 
-def split_by_year(df: DataFrame, train_years, test_years, date_col: str = DATE) -> tuple[DataFrame, DataFrame]:
-    return by_year(df, train_years, date_col), by_year(df, test_years, date_col)
+def split_by_year(
+    df: DataFrame, train_years, test_years, date_col: str = DATE, year_col: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    return by_year(df, train_years, date_col, year_col), by_year(df, test_years, date_col, year_col)
 
 
 def columns_matching(df: DataFrame, pattern: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from ledgerlens.operators.boosted import HYBRID_NUMERIC, KEY, NUMERIC, TARGET, fit_with_params, predict
 from ledgerlens.operators.evaluation import segment_report
 from ledgerlens.operators.features import build_features
-from ledgerlens.operators.filters import split_by_year
+from ledgerlens.operators.filters import by_year, split_by_year
 from ledgerlens.operators.forest import BEST_PARAMS as FOREST_PARAMS, ForestModel, fit_forest
 from ledgerlens.operators.joins import align_models, join_scores
 from ledgerlens.operators.quality import apply_all_fixes
@@ -35,7 +35,7 @@ def write_scores(
     features: DataFrame, train_years, path: str, params: Mapping[str, object] = FOREST_PARAMS,
 ) -> tuple[ForestModel, DataFrame]:
     """Train the forest on the training years, score every year, write the scored table."""
-    train, _ = split_by_year(features, train_years, [])
+    train = by_year(features, train_years, year_col="year")
     model = fit_forest(train, **params)
     export_scored(model.transform(features), path)
     return model, scan_parquet(features.sparkSession, path)
@@ -56,7 +56,7 @@ def compare_models(
     """Train with and without the anomaly columns, report both per anomaly segment of the test years."""
     extra = [c for c in HYBRID_NUMERIC if c not in NUMERIC]
     joined = join_scores(features, scored)
-    train, test = split_by_year(joined, train_years, test_years)
+    train, test = split_by_year(joined, train_years, test_years, year_col="year")
     baseline = fit_with_params(train, baseline_params, numeric)
     hybrid = fit_with_params(train, hybrid_params or baseline_params, [*numeric, *extra])
     left = predict(baseline, test, "baseline_pred").select(*KEY, TARGET, "baseline_pred")

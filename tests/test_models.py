@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import attribution, boosted, forest
+from ledgerlens.operators.filters import by_year
 from ledgerlens.plans import sales as plans
 from tests.test_features import COLUMNS, sale
 
@@ -222,6 +223,9 @@ def test_complete_run(spark, tmp_path):
     days = pd.date_range("2021-01-01", "2022-12-31")
     rows = [sale(i, rng.choice(["p", "q"]), "n", str(rng.choice(days))[:10], float(rng.integers(1, 30))) for i in range(1500)]
     built = plans.write_features(spark.createDataFrame(rows, COLUMNS), str(tmp_path / "features"))
+    one_year = by_year(built, 2021, year_col="year")
+    assert "PartitionFilters: [isnotnull(year" in one_year._jdf.queryExecution().executedPlan().toString()
+    assert one_year.count() == built.where("year(Order_Date) = 2021").count()
     _, scored = plans.write_scores(built, [2021], str(tmp_path / "scored"),
                                    {"n_estimators": 20, "max_samples": 64, "contamination": 0.05})
     assert scored.count() == built.count()

@@ -6,6 +6,7 @@ properties. Imputation and scaling are plain arithmetic and are checked.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import attribution, boosted, forest
@@ -186,17 +187,20 @@ def predict_model(spark, sf):
     return tidy(both_predictions(spark, sf).select(*KEYS, boosted.TARGET, "pred_baseline", "pred_hybrid"))
 
 
-@query("model_save_load")
+TEST_ROWS = "select Product, Region, Order_Date, {} from features where year(Order_Date) in (2000, 2001)"
+
+
+@query("model_save_load", using("features", TEST_ROWS.format("true as same_prediction, true as same_score")))
 def model_save_load(spark, sf):
-    """Predictions and scores of the reloaded models next to those of the originals."""
-    from pyspark.ml import PipelineModel
+    """Whether the reloaded models predict and score each row as the originals do."""
     path = path_for(spark, "models")
     baseline(spark, sf).write().save(f"{path}/boosted")
     fitted_forest(spark, sf).save(spark, f"{path}/forest")
     rows = boosted.predict(baseline(spark, sf), test_rows(spark, sf), "before")
     rows = boosted.predict(PipelineModel.load(f"{path}/boosted"), rows, "after")
     again = forest.ForestModel.load(spark, f"{path}/forest").transform(rows.withColumnRenamed("anomaly_score", "score_before"))
-    return tidy(again.select(*KEYS, "before", "after", "score_before", F.col("anomaly_score").alias("score_after")))
+    return again.select(*KEYS, (F.col("before") == F.col("after")).alias("same_prediction"),
+                        (F.col("score_before") == F.col("anomaly_score")).alias("same_score"))
 
 
 # Attributions --------------------------------------------------------------------------------
@@ -210,6 +214,14 @@ def shap_values(spark, sf):
     return attribution.shap_matrix(hybrid_explainer(spark, sf), test_rows(spark, sf), KEYS)
 
 
+@query("shap_additivity", using("features", TEST_ROWS.format("true as adds_up")))
+def shap_additivity(spark, sf):
+    """Whether base value and attributions of each row add up to its prediction."""
+    rows = boosted.predict(hybrid(spark, sf), test_rows(spark, sf))
+    parts = attribution.shap_matrix(hybrid_explainer(spark, sf), rows, [*KEYS, "prediction"])
+    return parts.select(*KEYS, (F.abs(F.col("output") - F.col("prediction")) < 1e-6).alias("adds_up"))
+
+
 @query("shap_importance")
 def shap_importance(spark, sf):
     return tidy(attribution.shap_importance(long_table(spark, sf)))
