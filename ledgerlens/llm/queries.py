@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import language, quality_net
+from ledgerlens.llm import decontaminate, language, mixing, quality_net, sharding
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,9 +31,65 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query("op4_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), n_shards=40)
+    return sharded.select(
+        "doc_id", sharding.record_size(F.col("text")).alias("size"),
+        F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_net.train_quality_model(docs, table(spark, sf_dir, "labels"))
     return quality_net.score_quality(docs, model).select(
         "doc_id", quality_net.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+MIXING_SQL = r"""
+with sized as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size
+  from documents
+), sources as (
+  select source, cast(sum(size) as bigint) as source_size,
+    case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight
+  from sized group by source
+), by_reach as (
+  select *, coalesce(sum(source_size) over w, 0) as given,
+    sum(weight) over () - coalesce(sum(weight) over w, 0) as open_weight, sum(source_size) over () as total
+  from sources
+  window w as (order by source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)
+), levels as (
+  select *, (1.5::double * total - 2.0::double * given) / open_weight as level from by_reach
+), chosen as (
+  select level from levels where level * weight <= 2.0::double * source_size
+  order by source_size / weight, source nulls last limit 1
+), targets as (
+  select source, source_size, least(2.0::double * source_size, coalesce(c.level, 0) * weight) as target
+  from sources cross join chosen c
+), placed as (
+  select s.doc_id, s.size, t.source_size, t.target,
+    case when t.source_size > 0 then t.target / t.source_size else 0.0::double end as rate,
+    row_number() over (partition by s.source order by s.size, md5('mix-1:' || coalesce(cast(s.doc_id as varchar), ''))) - 1 as place,
+    cast(('0x' || substr(md5('mix-1:' || coalesce(s.source, '')), 1, 8)) as bigint) / 4294967296.0::double as shift
+  from sized s join targets t on s.source is not distinct from t.source
+)
+select doc_id, size, source_size, target,
+  size * cast(floor((place + 1)::double * rate + shift) - floor(place::double * rate + shift) as bigint) as taken
+from placed
+"""
+
+
+@query("op9_source_mixing", MIXING_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", "text")
+    mixed = mixing.mix_sources(sized)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op10_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
