@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import decontaminate, language, mixing, quality_net, sharding
+from ledgerlens.llm import dartminhash, decontaminate, language, mixing, quality_net, sharding
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", quality_net.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query("op7_minhash_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 MIXING_SQL = r"""
 with sized as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size
