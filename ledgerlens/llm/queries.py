@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import dartminhash, decontaminate, language, mixing, quality_net, sharding
+from ledgerlens.llm import dartminhash, decontaminate, kmeans_tree, language, lines, mixing, quality_net, secrets, sharding
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,43 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+LINES_SQL = r"""
+with split as (
+  select doc_id, source, text, string_split(text, chr(10)) as lines from documents
+), held as (
+  select source, unnest(list_distinct(lines)) as line from split where source is not null
+), counts as (
+  select source, line, count(*) as n from held where regexp_matches(line, '[^\x20\x09-\x0D]') group by source, line
+), totals as (
+  select source, count(*) as pages from documents where source is not null group by source
+), boilerplate as (
+  select source, list(line) as gone from counts join totals using (source)
+  where n >= 10 and n > 0.05::double * pages group by source
+), cut as (
+  select doc_id, text, lines,
+    case when gone is null then lines else [l for l in lines if not list_contains(gone, l)] end as kept
+  from split left join boilerplate using (source)
+)
+select doc_id, array_to_string(kept, chr(10)) as text, cast(coalesce(len(lines), 0) as integer) as n_lines,
+  cast(coalesce(len(lines) - len(kept), 0) as integer) as n_dropped
+from cut
+"""
+
+
+@query("op2_line_dedup", LINES_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")) \
+        .select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    dictionary = secrets.frequent_words(docs)
+    model = secrets.train_forest(secrets.labelled_findings(spark, dictionary=dictionary), dictionary)
+    return secrets.scan(docs, model, dictionary).select("doc_id", "word_no", "candidate", "score", "is_secret")
+
+
 @query("op4_sharding")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), n_shards=40)
@@ -98,3 +135,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_nearest_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kmeans_tree.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
