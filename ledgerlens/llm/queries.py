@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import dartminhash, decontaminate, kmeans_tree, language, lines, mixing, quality_net, secrets, sharding
+from ledgerlens.llm import dartminhash, decontaminate, htmltree, kmeans_tree, language, lines, mixing, quality_net, secrets, sharding
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kmeans_tree.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op6_html_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltree.extract_text(pages, htmltree.default_potentials()).select("page_id", "url", "text", "n_chars")
