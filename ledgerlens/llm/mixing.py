@@ -65,16 +65,17 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, m
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
-                seed: str = SEED) -> DataFrame:
+                seed: str = SEED, size: Column | None = None) -> DataFrame:
     """All rows and columns of `docs` with size, source_size, target and copies (such columns are replaced).
 
-    `most` bounds the copies of a document: none is taken more than `ceil(most)` times.
+    `size` is the number of words of `text` unless given. The columns of `docs` travel through the sort,
+    so those that are not needed afterwards are best left out. `most` bounds the copies of a document:
+    none is taken more than `ceil(most)` times.
     """
     rows = docs.select(
-        as_row(docs), words(field("text")).alias("size"), field("source").cast("string").alias("source"),
+        as_row(docs), (words(field("text")) if size is None else size).alias("size"), field("source").cast("string").alias("source"),
         field("source").isNull().alias("no_source"), field("doc_id").cast("string").alias("id"))
     rows = rows.withColumn("tie", F.md5(F.encode(F.concat(F.lit(seed + ":"), F.coalesce("id", F.lit(""))), "UTF-8"))).drop("id")
-    # The row struct goes along, so the columns that the caller does not ask for are best left out beforehand.
     placed = with_position(rows, ["no_source", "source", "size", "tie"])
     sources = materialise(placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min(POSITION).alias("first")))
     targets = source_targets(sources, weights, share, most).select(

@@ -126,9 +126,8 @@ from placed
 
 @query("op9_source_mixing", MIXING_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", "text")
-    mixed = mixing.mix_sources(sized)
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    mixed = mixing.mix_sources(sized, size=F.col("size"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
