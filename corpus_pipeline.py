@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import language
+from ledgerlens.llm import dartminhash, decontaminate, language, mixing, sharding
 from ledgerlens.llm.common import DOCUMENT_COLUMNS, table
 from ledgerlens.session import materialise
 
 MIN_LANGUAGE_SCORE = 0.4
+SHARDS = 40
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +22,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         .select(*DOCUMENT_COLUMNS)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class of near copies."""
+    return dartminhash.keep_one(docs).select(*DOCUMENT_COLUMNS)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents in which no benchmark item was found."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*DOCUMENT_COLUMNS)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: never, once or twice."""
+    return mixing.emit_copies(mixing.mix_sources(docs.select(*DOCUMENT_COLUMNS)), DOCUMENT_COLUMNS)
+
+
+def shuffle_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard and slot."""
+    return sharding.shuffle_into_shards(docs.select(*DOCUMENT_COLUMNS), SHARDS)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("mixing", mix_to_weights),
+    ("sharding", shuffle_shards),
 ]
 
 #: Trained networks and hash signatures have no SQL twin; tests compare the stages with brute force.
