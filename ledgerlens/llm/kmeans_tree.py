@@ -204,7 +204,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     spark = table.sparkSession
     rows, d = usable_vectors(table, id_col, vector_col)
     total = rows.count()
-    if not total:
+    if not rows.where(is_query).head(1):
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     spread = unit_hash(F.lit("tree"), F.col("id"))
     fitted_on = rows.where(spread < min(1.0, 1.1 * sample / total)).limit(sample).select("vector").toArrow()
@@ -222,7 +222,6 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     kind = rows.schema["vector"].dataType.simpleString()
     indexed = materialise(rows.mapInArrow(placed, f"id long, vector {kind}, leaf int"))
     queries = indexed.where(is_query)
-    asked = queries.count()
     chosen = queries.orderBy(F.xxhash64(F.lit("calibration"), "id"), "id").limit(calibration_queries).collect()
     visits = calibrated_visits(tree, indexed, chosen, d, k, recall)
 
@@ -258,4 +257,4 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         return pa.table({"query_id": q.astype(np.int64), "id": i.astype(np.int64), "score": s})
 
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, RESULT)
-    return _ranked(found, k).select("query_id", "rank", "id", "score") if asked else found.withColumn("rank", F.lit(1)).limit(0)
+    return _ranked(found, k).select("query_id", "rank", "id", "score")
