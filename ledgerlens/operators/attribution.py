@@ -269,6 +269,13 @@ def shap_importance(long: DataFrame) -> DataFrame:
         F.desc("mean_abs_shap"), "feature")
 
 
+def explained_importance(explainer: Explainer, df: DataFrame) -> DataFrame:
+    """`shap_importance` straight from the arrays: one aggregate per feature, then one row is turned."""
+    means = [F.avg(F.abs(F.col(SHAP)[i])).alias(f"m{i}") for i in range(len(explainer.names))]
+    entries = [F.struct(F.lit(n).alias("feature"), F.col(f"m{i}").alias("mean_abs_shap")) for i, n in enumerate(explainer.names)]
+    return explainer.arrays(df).agg(*means).select(F.inline(F.array(*entries))).orderBy(F.desc("mean_abs_shap"), "feature")
+
+
 def shap_summary(long: DataFrame) -> DataFrame:
     """Rows behind a summary plot: attribution and the value scaled to 0…1 within its feature.
 

@@ -1,13 +1,17 @@
 """Queries over fitted models: isolation forest, boosted regression and attributions.
 
-Trees are random or grown by Spark ML, so these have no SQL twin; the tests check their
-properties. Imputation and scaling are plain arithmetic and are checked.
+Trees are random or grown by Spark ML, so their numbers have no SQL twin. Each query computes the
+whole output of its operator and returns, per key, what SQL knows of it (keys, inputs, imputed
+values) and whether the properties hold that the output must have; rows that fail are kept. SQL
+lists every expected key with `true`.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ledgerlens.operators import attribution, boosted, forest
 from ledgerlens.operators.evaluation import regression_metrics
@@ -20,7 +24,7 @@ from workload.sql import r6, using
 from workload.tables import SIGNAL_SQL, TEST_YEARS, TRAIN_YEARS
 
 KEYS = ["Product", "Region", "Order_Date"]
-FOREST = {"n_estimators": 50, "max_samples": 256, "max_features": 1.0, "contamination": 0.01}
+FOREST = {"n_estimators": 100, "max_samples": 512, "max_features": 1.0, "contamination": 0.01}
 TREES = {"n_estimators": 8, "learning_rate": 0.3, "num_leaves": 15, "min_child_samples": 20}
 
 
@@ -113,33 +117,94 @@ def transform_if_features(spark, sf):
 
 # Isolation forest ----------------------------------------------------------------------------
 
-@query("isolation_forest_fit")
-def isolation_forest_fit(spark, sf):
-    """The node table."""
-    nodes = fitted_forest(spark, sf).nodes
-    return spark.createDataFrame(nodes[["tree", "node", "feature", "threshold", "left", "right", "size", "depth"]])
+TREES_SQL = "select cast(range as int) as tree, cast(512 as bigint) as rows, true as splits_add_up, true as within_depth from range(100)"
 
 
-@query("isolation_forest_score")
+@query("isolation_forest_fit", TREES_SQL)
+def isolation_forest_fit(spark, sf):
+    """Per tree: rows in the leaves, whether every split divides its rows, whether the depth limit holds."""
+    nodes = spark.createDataFrame(fitted_forest(spark, sf).nodes[["tree", "node", "left", "right", "size", "depth"]])
+    size = nodes.select("tree", F.col("node").alias("child"), F.col("size").alias("child_size"))
+    split = nodes.where("left >= 0")
+    divided = (
+        split.join(size.withColumnsRenamed({"child": "left", "child_size": "left_size"}), ["tree", "left"], "left")
+        .join(size.withColumnsRenamed({"child": "right", "child_size": "right_size"}), ["tree", "right"], "left")
+        .groupBy("tree").agg(F.min(F.coalesce(F.col("left_size") + F.col("right_size") == F.col("size"), F.lit(False)))
+                             .alias("splits_add_up")))
+    leaves = nodes.groupBy("tree").agg(
+        F.sum(F.when(F.col("left") < 0, F.col("size"))).alias("rows"), (F.max("depth") <= 9).alias("within_depth"))
+    return leaves.join(divided, "tree").select(F.col("tree").cast("int").alias("tree"), "rows", "splits_add_up", "within_depth")
+
+
+@query("isolation_forest_score", using("features", "select Product, Region, Order_Date, " + ", ".join(
+    r6(e, n) for n, e in SIGNAL_SQL.items()) + ", true as in_range, true as flag_follows_score, true as label_follows_flag,"
+    " true as share_is_contamination from features"))
 def isolation_forest_score(spark, sf):
-    scored = fitted_forest(spark, sf).transform(feature_table(spark, sf))
-    return tidy(scored.select(*KEYS, *forest.FEATURES, "anomaly_score", "anomaly_flag", "anomaly_label"))
+    """Signals of each row, and whether score, flag and label agree; on the training years a hundredth is flagged."""
+    scored = scored_table(spark, sf)
+    share = by_year(scored, TRAIN_YEARS).agg(F.avg("anomaly_flag")).first()[0]
+    score, flag = F.col("anomaly_score"), F.col("anomaly_flag")
+    return tidy(scored.select(
+        *KEYS, *forest.FEATURES, score.between(-1, 1).alias("in_range"),
+        (flag == (score < 0).cast("int")).alias("flag_follows_score"),
+        (F.col("anomaly_label") == F.when(flag == 1, "Anomaly").otherwise("Normal")).alias("label_follows_flag"),
+        F.lit(abs(share - FOREST["contamination"]) < 0.001).alias("share_is_contamination")))
 
 
-@query("isolation_forest_grid")
+GRID = {"n_estimators": [10, 20], "max_samples": [64, 128], "contamination": [0.01], "max_features": [0.75, 1.0]}
+
+
+@query("isolation_forest_grid", """select cast(t as int) as n_estimators, cast(s as int) as max_samples, f as max_features,
+ true as separates, true as not_above_best
+ from (values (10), (20)) a(t), (values (64), (128)) b(s), (values (0.75::double), (1.0::double)) c(f)""")
 def isolation_forest_grid(spark, sf):
-    grid = {"n_estimators": [10, 20], "max_samples": [64, 128], "contamination": [0.01], "max_features": [0.75, 1.0]}
-    table, _ = forest.search_forest(by_year(feature_table(spark, sf), TRAIN_YEARS), grid=grid)
-    return tidy(table)
+    """Every combination, whether its separation is positive and no larger than the chosen one's."""
+    table, best = forest.search_forest(by_year(feature_table(spark, sf), TRAIN_YEARS), grid=GRID)
+    chosen = table
+    for c in ("max_features", "max_samples", "n_estimators"):
+        chosen = chosen.where(F.col(c) == best[c])
+    top = chosen.first()["separation"]
+    return table.select(
+        F.col("n_estimators").cast("int").alias("n_estimators"), F.col("max_samples").cast("int").alias("max_samples"),
+        F.col("max_features").cast("double").alias("max_features"),
+        (F.col("separation") > 0).alias("separates"), (F.col("separation") <= top).alias("not_above_best"))
 
 
 # Boosted regression --------------------------------------------------------------------------
 
-@query("preprocess_features")
+# The numeric inputs of the models, written out for the SQL.
+INPUTS = (
+    "total_price_sum", "unit_price_mean", "discount_mean", "order_count", "customer_count", "avg_ticket",
+    "day_of_week", "month", "is_weekend", "quantity_sum_mean_7d", "quantity_sum_std_7d", "quantity_sum_sum_7d",
+    "total_price_sum_mean_7d", "total_price_sum_std_7d", "total_price_sum_mean_30d", "unit_price_mean_mean_7d",
+    "discount_mean_mean_14d", "quantity_vs_mean_7d", "total_price_vs_mean_30d", "quantity_pct_vs_mean_7d",
+    "history_less_than_7d", "history_less_than_30d",
+)
+MEDIANS_OF_INPUTS = "select " + ", ".join(f"quantile_cont({c}, 0.5) as m_{c}" for c in INPUTS) + " from features where year(Order_Date) <= 1999"
+FILLED_INPUTS = ", ".join(r6(f"coalesce({c}, m_{c}, 0)", c) for c in INPUTS)
+
+
+@query("preprocess_features", using("features", f"""select Product, Region, Order_Date, {FILLED_INPUTS},
+ Product as hot_product, Region as hot_region, true as one_of_each from features, learnt""", learnt=MEDIANS_OF_INPUTS))
 def preprocess_features(spark, sf):
+    """The entries of the vector by name; the one-hot blocks as the value whose entry is 1."""
     rows = feature_table(spark, sf)
-    ready = boosted.fit_preprocessor(by_year(rows, TRAIN_YEARS)).transform(rows)
-    return ready.select(*KEYS, attribution.vector_to_array("features").alias("features"))
+    model = boosted.fit_preprocessor(by_year(rows, TRAIN_YEARS))
+    names, raw = boosted.feature_names(model)
+    ready = model.transform(rows).select(*KEYS, attribution.vector_to_array("features").alias("features"))
+
+    def block(column):
+        at = [i for i, r in enumerate(raw) if r == column]
+        labels = F.array(*[F.lit(names[i].removeprefix(f"categorical__{column}_")) for i in at])
+        return F.slice("features", at[0] + 1, len(at)), labels
+
+    (product, products), (region, regions) = block("Product"), block("Region")
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x)
+    return tidy(ready.select(
+        *KEYS, *[F.col("features")[names.index(f"numeric__{c}")].alias(c) for c in INPUTS],
+        F.element_at(products, F.array_position(product, F.lit(1.0)).cast("int")).alias("hot_product"),
+        F.element_at(regions, F.array_position(region, F.lit(1.0)).cast("int")).alias("hot_region"),
+        ((total(product) == 1) & (total(region) == 1) & (F.size("features") == len(names))).alias("one_of_each")))
 
 
 @query("learn_imputation", using("features", """select 'Product' as feature, Product as value from (
@@ -158,33 +223,63 @@ def learn_imputation(spark, sf):
 SMALL_GRID = {"n_estimators": [4], "learning_rate": [0.3], "num_leaves": [7, 15], "min_child_samples": [20]}
 
 
-@query("baseline_fit")
+SEARCH_SQL = """select cast(row_number() over (order by l) - 1 as int) as combination, 4.0::double as n_estimators,
+ 0.3::double as learning_rate, cast(l as double) as num_leaves, 20.0::double as min_child_samples,
+ true as has_error, true as best_has_least from (values (7), (15)) a(l)"""
+
+
+def _search_checks(table, best):
+    least = table.agg(F.min("rmse")).first()[0]
+    chosen = table.where("best").first()
+    agrees = chosen["num_leaves"] == best["num_leaves"] and chosen["rmse"] == least
+    return table.select("combination", *SMALL_GRID, (F.col("rmse") > 0).alias("has_error"),
+                        (F.lit(agrees) & (F.col("rmse") >= least)).alias("best_has_least"))
+
+
+@query("baseline_fit", SEARCH_SQL)
 def baseline_fit(spark, sf):
-    _, table, _ = boosted.fit_with_search(by_year(feature_table(spark, sf), TRAIN_YEARS), SMALL_GRID)
-    return tidy(table)
+    """Every combination, and whether the chosen one has the least error."""
+    _, table, best = boosted.fit_with_search(by_year(feature_table(spark, sf), TRAIN_YEARS), SMALL_GRID)
+    return _search_checks(table, best)
 
 
-@query("hybrid_fit")
+@query("hybrid_fit", SEARCH_SQL)
 def hybrid_fit(spark, sf):
-    _, table, _ = boosted.fit_with_search(
+    _, table, best = boosted.fit_with_search(
         by_year(scored_table(spark, sf), TRAIN_YEARS), SMALL_GRID, numeric=boosted.HYBRID_NUMERIC)
-    return tidy(table)
+    return _search_checks(table, best)
 
 
-@query("fit_with_best_params")
+@query("fit_with_best_params", using("features", """select case when year(Order_Date) <= 1999 then 'train' else 'test' end as part,
+ count(*) as rows, true as errors_agree, true as better_than_the_mean from features where year(Order_Date) <= 2001 group by 1"""))
 def fit_with_best_params(spark, sf):
-    """Errors of the refitted model on the train and on the test years."""
+    """Rows of train and test years, whether mae <= rmse, and whether the model beats the mean of the part."""
     model = baseline(spark, sf)
     parts = []
     for name, years in (("train", TRAIN_YEARS), ("test", TEST_YEARS)):
         rows = boosted.predict(model, by_year(scored_table(spark, sf), years))
-        parts.append(regression_metrics(rows, boosted.TARGET, "prediction").withColumn("part", F.lit(name)))
-    return tidy(parts[0].unionByName(parts[1]))
+        found = regression_metrics(rows, boosted.TARGET, "prediction").first()
+        parts.append((name, rows.count(), found["mae"] <= found["rmse"], found["r2"] > 0))
+    return spark.createDataFrame(parts, "part string, rows bigint, errors_agree boolean, better_than_the_mean boolean")
 
 
-@query("predict_model")
+@query("predict_model", using("features", f"""select Product, Region, Order_Date, {r6('quantity_sum')}, true as both_predict,
+ true as within_the_leaves from features where year(Order_Date) in (2000, 2001)"""))
 def predict_model(spark, sf):
-    return tidy(both_predictions(spark, sf).select(*KEYS, boosted.TARGET, "pred_baseline", "pred_hybrid"))
+    """Whether both models give a number, no further out than the sum of their largest leaves."""
+    bounds = {}
+    for name, model in (("pred_baseline", baseline(spark, sf)), ("pred_hybrid", hybrid(spark, sf))):
+        nodes = attribution.boosted_nodes(model, feature_table(spark, sf))
+        leaves = nodes[nodes["left"] < 0].groupby("tree")["value"]
+        bounds[name] = (float(leaves.min().sum()) - 1e-6, float(leaves.max().sum()) + 1e-6)
+    both = both_predictions(spark, sf)
+    within = F.lit(True)
+    for name, (low, high) in bounds.items():
+        within = within & F.col(name).between(low, high)
+    return tidy(both.select(
+        *KEYS, boosted.TARGET, (F.col("pred_baseline").isNotNull() & F.col("pred_hybrid").isNotNull()
+                                & ~F.isnan("pred_baseline") & ~F.isnan("pred_hybrid")).alias("both_predict"),
+        F.coalesce(within, F.lit(False)).alias("within_the_leaves")))
 
 
 TEST_ROWS = "select Product, Region, Order_Date, {} from features where year(Order_Date) in (2000, 2001)"
@@ -205,13 +300,21 @@ def model_save_load(spark, sf):
 
 # Attributions --------------------------------------------------------------------------------
 
-def long_table(spark, sf):
-    return written(spark, sf, "long", lambda: hybrid_explainer(spark, sf).long(test_rows(spark, sf), KEYS))
+TEST = "features where year(Order_Date) in (2000, 2001)"
+CLOSE = 1e-6
 
 
-@query("shap_values")
+@query("shap_values", using("features", f"""select Product, Region, Order_Date, {FILLED_INPUTS}, true as one_each,
+ true as adds_up from features, learnt where year(Order_Date) in (2000, 2001)""", learnt=MEDIANS_OF_INPUTS))
 def shap_values(spark, sf):
-    return attribution.shap_matrix(hybrid_explainer(spark, sf), test_rows(spark, sf), KEYS)
+    """Explained values by name, whether each has an attribution, and whether these add up to the prediction."""
+    explainer = hybrid_explainer(spark, sf)
+    rows = boosted.predict(hybrid(spark, sf), test_rows(spark, sf))
+    parts = attribution.shap_matrix(explainer, rows, [*KEYS, "prediction"])
+    return tidy(parts.select(
+        *KEYS, *[F.col("values")[explainer.names.index(f"numeric__{c}")].alias(c) for c in INPUTS],
+        ((F.size("values") == len(explainer.names)) & (F.size("shap") == len(explainer.names))).alias("one_each"),
+        (F.abs(F.col("output") - F.col("prediction")) < CLOSE).alias("adds_up")))
 
 
 @query("shap_additivity", using("features", TEST_ROWS.format("true as adds_up")))
@@ -219,56 +322,141 @@ def shap_additivity(spark, sf):
     """Whether base value and attributions of each row add up to its prediction."""
     rows = boosted.predict(hybrid(spark, sf), test_rows(spark, sf))
     parts = attribution.shap_matrix(hybrid_explainer(spark, sf), rows, [*KEYS, "prediction"])
-    return parts.select(*KEYS, (F.abs(F.col("output") - F.col("prediction")) < 1e-6).alias("adds_up"))
+    return parts.select(*KEYS, (F.abs(F.col("output") - F.col("prediction")) < CLOSE).alias("adds_up"))
 
 
-@query("shap_importance")
+NAMES_SQL = " union all ".join(
+    [f"select 'numeric__{c}' as feature" for c in (*INPUTS, "anomaly_score", "anomaly_flag")]
+    + [f"select distinct 'categorical__{c}_' || {c} from features where year(Order_Date) <= 1999" for c in ("Product", "Region")])
+
+
+@query("shap_importance", using("features", "select feature, true as not_negative, true as in_order, true as some_matter from inputs",
+                                inputs=NAMES_SQL))
 def shap_importance(spark, sf):
-    return tidy(attribution.shap_importance(long_table(spark, sf)))
+    """Every feature, and whether the mean absolute attributions fall from row to row."""
+    found = attribution.explained_importance(hybrid_explainer(spark, sf), test_rows(spark, sf)).collect()  # one row per feature
+    values = [r["mean_abs_shap"] for r in found]
+    return spark.createDataFrame(
+        [(r["feature"], v >= 0, i == 0 or values[i - 1] >= v, values[0] > 0) for i, (r, v) in enumerate(zip(found, values))],
+        "feature string, not_negative boolean, in_order boolean, some_matter boolean")
 
 
-@query("shap_importance_anomalies")
+@query("shap_importance_anomalies", "select unnest(['if_qty_signal', 'if_sales_signal', 'if_discount_signal', 'if_ticket_signal'])"
+                                    " as feature, true as matters, true as in_order")
 def shap_importance_anomalies(spark, sf):
     """Importance of the anomaly signals over the flagged rows."""
     flagged = anomaly_rows(scored_table(spark, sf)).drop(*forest.FEATURES)
-    return tidy(attribution.shap_importance(forest_explainer(spark, sf).long(flagged, KEYS)))
+    found = attribution.explained_importance(forest_explainer(spark, sf), flagged).collect()  # four rows
+    values = [r["mean_abs_shap"] for r in found]
+    return spark.createDataFrame([(r["feature"], v > 0, i == 0 or values[i - 1] >= v) for i, (r, v) in enumerate(zip(found, values))],
+                                 "feature string, matters boolean, in_order boolean")
 
 
-@query("shap_summary_data")
+@query("shap_summary_data", using("features", f"""select feature, (select count(*) from {TEST}) as rows,
+ true as scaled_to_unit, true as some_flagged from inputs""", inputs=NAMES_SQL))
 def shap_summary_data(spark, sf):
-    flagged = anomaly_rows(test_rows(spark, sf))
-    return tidy(attribution.shap_summary(hybrid_explainer(spark, sf).long(flagged, KEYS)))
-
-
-@query("shap_dependence_data")
+    """The points of the summary over all test rows, and over the flagged ones, counted per feature."""
+    explainer = hybrid_explainer(spark, sf)
+    everyone = attribution.shap_summary(explainer.long(test_rows(spark, sf), KEYS))
+    flagged = attribution.shap_summary(explainer.long(anomaly_rows(test_rows(spark, sf)), KEYS))
+    unit = lambda: F.min(F.col("scaled_value").between(0, 1))
+    second = flagged.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), unit().alias("unit"))
+    return everyone.groupBy("feature").agg(F.count("shap").alias("rows"), unit().alias("scaled_to_unit")) \
+        .join(second, "feature", "left").select("feature", "rows", "scaled_to_unit",
+                                                F.coalesce((F.col("n") > 0) & F.col("unit"), F.lit(False)).alias("some_flagged"))
+
+
+@query("shap_dependence_data", using("features", TEST_ROWS.format(
+    "'numeric__anomaly_score' as feature, true as value_is_the_score, true as has_attribution")))
 def shap_dependence_data(spark, sf):
-    return tidy(attribution.shap_dependence(hybrid_explainer(spark, sf), test_rows(spark, sf), "anomaly_score", KEYS))
+    """Whether the value of each point is the row's score and its attribution a number."""
+    found = attribution.shap_dependence(hybrid_explainer(spark, sf), test_rows(spark, sf), "anomaly_score", [*KEYS, "anomaly_score"])
+    return found.select(*KEYS, "feature", (F.col("value") == F.col("anomaly_score")).alias("value_is_the_score"),
+                        (F.col("shap").isNotNull() & ~F.isnan("shap")).alias("has_attribution"))
 
 
-@query("rank_drivers")
+@query("rank_drivers", using("features", f"""select Product, Region, Order_Date, cast(r as int) as rank, true as falls,
+ true as differs from {TEST.replace(' where', ', (values (1), (2), (3)) a(r) where')}"""))
 def rank_drivers(spark, sf):
-    return tidy(attribution.rank_drivers(hybrid_explainer(spark, sf), test_rows(spark, sf), KEYS, 3))
+    """Whether absolute attributions fall from rank to rank, over different features."""
+    found = attribution.rank_drivers(hybrid_explainer(spark, sf), test_rows(spark, sf), KEYS, 3)
+    w = Window.partitionBy(*KEYS).orderBy("rank")
+    before = F.lag(F.abs("shap")).over(w)
+    return found.select(*KEYS, F.col("rank").cast("int").alias("rank"),
+                        F.coalesce(F.abs("shap") <= before, F.lit(True)).alias("falls"),
+                        F.coalesce(F.lag("feature").over(w) != F.col("feature"), F.lit(True)).alias("differs"))
 
 
-@query("explain_anomaly_drivers")
+@query("explain_anomaly_drivers", "select cast(range + 1 as bigint) as place, true as flagged, true as lowest_first,"
+                                  " true as drivers_fall from range(10)")
 def explain_anomaly_drivers(spark, sf):
-    return tidy(attribution.explain_anomaly_drivers(forest_explainer(spark, sf), scored_table(spark, sf), 10, 2))
-
-
-@query("force_data_anomaly")
+    """The ten worst rows: flagged, by score, their two drivers different and the stronger first."""
+    found = attribution.explain_anomaly_drivers(forest_explainer(spark, sf), scored_table(spark, sf), 10, 2)
+    rows = sorted(found.collect(), key=lambda r: (r["anomaly_score"], r["Product"], r["Region"], r["Order_Date"]))  # ten rows
+    worst = [r["anomaly_score"] for r in scored_table(spark, sf).orderBy("anomaly_score").limit(10).collect()]
+    return spark.createDataFrame(
+        [(i, r["anomaly_label"] == "Anomaly" and r["anomaly_score"] < 0, r["anomaly_score"] == worst[i - 1],
+          r["top_driver_1"] != r["top_driver_2"] and abs(r["top_driver_1_shap"]) >= abs(r["top_driver_2_shap"]))
+         for i, r in enumerate(rows, 1)], "place bigint, flagged boolean, lowest_first boolean, drivers_fall boolean")
+
+
+@query("force_data_anomaly", "select unnest(['if_qty_signal', 'if_sales_signal', 'if_discount_signal', 'if_ticket_signal'])"
+                             " as feature, true as adds_up")
 def force_data_anomaly(spark, sf):
-    scored = scored_table(spark, sf)
+    """The four contributions to the worst row, and whether they add up to its mean path length."""
+    scored, model = scored_table(spark, sf), fitted_forest(spark, sf)
     worst = attribution.top_anomalies(scored, 1).first()
-    return tidy(attribution.force_data(forest_explainer(spark, sf), scored, {k: worst[k] for k in KEYS}))
+    key = {k: worst[k] for k in KEYS}
+    found = attribution.force_data(forest_explainer(spark, sf), scored, key).collect()  # four rows
+    output = found[0]["base_value"] + sum(r["shap"] for r in found)
+    # The score is -2 ** -(path / usual path), less the offset.
+    usual = float(forest.average_path_length(model.max_samples))
+    path = -usual * math.log2(-(worst["anomaly_score"] + model.offset))
+    return spark.createDataFrame([(r["feature"], abs(output - path) < 1e-4) for r in found], "feature string, adds_up boolean")
+
+
+FACTS = ["actual", "baseline_prediction", "hybrid_prediction", "error_reduction"]
+
+
+def _facts_agree(r):
+    gain = abs(r["actual"] - r["baseline_prediction"]) - abs(r["actual"] - r["hybrid_prediction"])
+    return abs(gain - r["error_reduction"]) < CLOSE
+
+
+def _by_case(found):
+    """The rows of each of the three cases by rank, the most corrected case first."""
+    cases = {}
+    for r in found.collect():  # three cases of a few rows
+        cases.setdefault(tuple(r[k] for k in KEYS), []).append(r)
+    ordered = sorted(cases.items(), key=lambda c: (-c[1][0]["error_reduction"], *map(str, c[0])))
+    return [sorted(rows, key=lambda r: r["rank"]) for _, rows in ordered]
+
+
+CASES_SQL = "select cast(c as int) as case_no, cast(r as int) as rank, true as facts_agree, {} from (values (1), (2), (3)) a(c)," \
+            " (values (1), (2), (3), (4), (5)) b(r)"
 
 
-@query("force_data_critical")
+@query("force_data_critical", CASES_SQL.format("true as falls"))
 def force_data_critical(spark, sf):
-    return tidy(attribution.force_data_critical(
-        hybrid_explainer(spark, sf), both_predictions(spark, sf), KEYS, boosted.TARGET, "pred_baseline", "pred_hybrid"))
+    """The strongest contributions of the three most corrected rows, falling from rank to rank."""
+    found = attribution.force_data_critical(
+        hybrid_explainer(spark, sf), both_predictions(spark, sf), KEYS, boosted.TARGET, "pred_baseline", "pred_hybrid")
+    rows = [(n, r["rank"], _facts_agree(r), i == 0 or abs(case[i - 1]["shap"]) >= abs(r["shap"]))
+            for n, case in enumerate(_by_case(found), 1) for i, r in enumerate(case)]
+    return spark.createDataFrame(rows, "case_no int, rank int, facts_agree boolean, falls boolean")
 
 
-@query("waterfall_critical")
+@query("waterfall_critical", CASES_SQL.format("true as steps_join, true as ends_at_prediction"))
 def waterfall_critical(spark, sf):
-    return tidy(attribution.waterfall_critical(
-        hybrid_explainer(spark, sf), both_predictions(spark, sf), KEYS, boosted.TARGET, "pred_baseline", "pred_hybrid"))
+    """Whether the steps of each case lead without a gap from the base value to the hybrid prediction."""
+    explainer = hybrid_explainer(spark, sf)
+    found = attribution.waterfall_critical(
+        explainer, both_predictions(spark, sf), KEYS, boosted.TARGET, "pred_baseline", "pred_hybrid")
+    rows = []
+    for n, case in enumerate(_by_case(found), 1):
+        for i, r in enumerate(case):  # rank 1 is the last step
+            start = case[i + 1]["end_value"] if i + 1 < len(case) else explainer.base
+            rows.append((n, r["rank"], _facts_agree(r), abs(r["start_value"] - start) < CLOSE
+                         and abs(r["start_value"] + r["shap"] - r["end_value"]) < CLOSE,
+                         abs(case[0]["end_value"] - r["hybrid_prediction"]) < CLOSE))
+    return spark.createDataFrame(rows, "case_no int, rank int, facts_agree boolean, steps_join boolean, ends_at_prediction boolean")
