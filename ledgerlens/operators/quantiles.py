@@ -4,6 +4,10 @@
 brackets each wanted rank, then the rows below the bracket are counted and only the values inside
 it are kept. All passes combine on the map side. If a bracket ever missed its rank the query
 stops with an error instead of returning a wrong number.
+
+What is left of a bracket is cut by rank, never by width, so extreme values do not gather the rest
+of a bracket in one place: over groups into slots of about equally many distinct values, over whole
+columns by bracketing again inside the bracket until few values remain.
 """
 
 from __future__ import annotations
@@ -13,10 +17,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerlens.session import materialise
+
 ACCURACY = 2_000
 _MARGIN = 10          # bracket half-width in units of the sketch's own rank error
-_SLOTS = 1_000        # equal-width pieces of a bracket, of which at most two are sorted
-_SORTED_ROWS = 1_000_000  # a bracket known to hold no more rows is sorted whole
+_SLOTS = 100          # pieces of a bracket with about equally many values, of which at most two are sorted
+_FEW = 10_000         # a bracket is narrowed until no more rows lie strictly inside it
 
 
 def _brackets(prob: float, accuracy: int) -> tuple[float, float]:
@@ -68,8 +74,9 @@ def exact_quantiles(
     kept. `bounded_groups` says that the number of groups has a fixed bound (flags, calendar
     periods), which makes the bracket table safe to broadcast.
 
-    Each bracket is divided into slots of equal width; the slots are counted and only those
-    holding the wanted ranks are sorted, so no task sorts a group or even a whole bracket.
+    The distinct values of each bracket are written out once and divided by a second sketch into
+    slots of about equally many; the slots are counted and only those holding the wanted ranks are
+    sorted, so no task sorts a group or even a whole bracket.
     """
     groups = list(group_cols)
     names, ps = list(probs), list(probs.values())
@@ -100,13 +107,20 @@ def exact_quantiles(
         same_group = same_group & F.col(g).eqNullSafe(F.col(f"_key_{i}"))
     joined = rows.join(brackets, same_group).select(*groups, "_value", F.explode("_wanted").alias("_w"))
     v, low, high = F.col("_value"), F.col("_w.low"), F.col("_w.high")
-    slot = F.when(v < low, -1).when(high > low, F.least(
-        F.floor((v - low) / (high - low) * _SLOTS), F.lit(_SLOTS - 1))).otherwise(0)
     # Rows under the bracket share one null value, so they shrink to a count on the map side.
-    counted = joined.where(v <= high).select(
-        *groups, F.col("_w.q").alias("_q"), F.col("_w.rank").alias("_rank"),
-        slot.cast("int").alias("_slot"), F.when(v >= low, v).alias("_value"),
-    ).groupBy(*groups, "_q", "_rank", "_slot", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    counted = materialise(joined.where(v <= high).select(
+        *groups, F.col("_w.q").alias("_q"), F.col("_w.rank").alias("_rank"), F.when(v >= low, v).alias("_value"),
+    ).groupBy(*groups, "_q", "_rank", "_value").agg(F.count(F.lit(1)).alias("_n")))
+    cut_at = F.array(*[F.lit(i / _SLOTS) for i in range(1, _SLOTS)])
+    cuts = counted.groupBy(*groups, "_q").agg(F.percentile_approx("_value", cut_at, F.lit(accuracy)).alias("_cuts")).select(
+        *[F.col(g).alias(f"_key_{i}") for i, g in enumerate([*groups, "_q"])], "_cuts")
+    if bounded_groups:
+        cuts = F.broadcast(cuts)  # one short array per group and probability
+    same = F.lit(True)
+    for i, g in enumerate([*groups, "_q"]):
+        same = same & F.col(g).eqNullSafe(F.col(f"_key_{i}"))
+    slot = F.when(F.col("_value").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_value"))))
+    counted = counted.join(cuts, same).select(*groups, "_q", "_rank", slot.cast("int").alias("_slot"), "_value", "_n")
 
     keys = [*groups, "_q"]
     slots = counted.groupBy(*keys, "_rank", "_slot").agg(F.sum("_n").alias("_slot_rows"))
@@ -131,9 +145,9 @@ def column_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of several columns over the whole table, as numbers for a fitted model.
 
-    What reaches the driver is one number per column and probability. A bracket whose ends are
-    equal names its value at once; another one that holds few rows is sorted; a larger one is
-    left to `exact_quantiles`.
+    What reaches the driver is a few numbers per column and probability. All brackets are narrowed
+    together: a round is one sketch of the values strictly inside and one count, and leaves about a
+    hundredth of them. The number of jobs grows with the logarithm of the rows, not with the columns.
     """
     cols, ps = list(columns), list(probs)
     values = {c: F.nullif(F.col(c).cast("double"), F.lit(math.nan)) for c in cols}
@@ -146,7 +160,7 @@ def column_quantiles(
     found = df.agg(*measures).first()
 
     result: dict[str, list[float | None]] = {c: [None] * len(ps) for c in cols}
-    brackets = {}
+    ends, ranks = {}, {}
     for i, c in enumerate(cols):
         if not found[f"n{i}"]:
             continue
@@ -155,36 +169,63 @@ def column_quantiles(
             low_p, high_p = _brackets(p, accuracy)
             low = found[f"lo{i}"] if few or low_p <= 0 else found[f"s{i}"][2 * j]
             high = found[f"hi{i}"] if few or high_p >= 1 else found[f"s{i}"][2 * j + 1]
-            brackets[i, j] = (low, high, (found[f"n{i}"] - 1) * p)
-    if not brackets:
+            ends[i, j], ranks[i, j] = (low, high), (found[f"n{i}"] - 1) * p
+    if not ends:
         return result
 
-    counts = []
-    for (i, j), (low, high, _) in brackets.items():
-        v = values[cols[i]]
-        counts += [F.count(F.when(v < F.lit(low), 1)).alias(f"b{i}_{j}"),
-                   F.count(F.when((v >= F.lit(low)) & (v <= F.lit(high)), 1)).alias(f"k{i}_{j}")]
-    under = df.agg(*counts).first()
-
-    to_sort, too_large = [], []
-    for (i, j), (low, high, rank) in brackets.items():
-        below, held = under[f"b{i}_{j}"], under[f"k{i}_{j}"]
-        if not below <= math.floor(rank) <= math.ceil(rank) < below + held:
-            raise RuntimeError("quantile bracket missed its rank; raise accuracy")
+    held = _counted(df, cols, values, ends, ranks)
+    while wide := [k for k, (low, high) in ends.items() if low < high and held[k][2] > _FEW]:
+        closer = _narrowed(df, cols, values, {k: ends[k] for k in wide}, ranks, held, accuracy)
+        ends |= closer
+        held |= _counted(df, cols, values, closer, ranks)
+    to_sort = []
+    for (i, j), (low, high) in ends.items():
         if low == high:
             result[cols[i]][j] = low
-        elif held <= _SORTED_ROWS:
-            to_sort.append((i, j, float(rank), below, float(low), float(high)))
         else:
-            too_large.append((i, j))
+            to_sort.append((i, j, float(ranks[i, j]), held[i, j][0], float(low), float(high)))
     for (i, j), value in _sorted_brackets(df, cols, values, to_sort).items():
         result[cols[i]][j] = value
-    for i, j in too_large:
-        one = df.select(F.lit(1).alias("_all"), values[cols[i]].alias("_v"))
-        result[cols[i]][j] = exact_quantiles(one, "_v", {"_x": ps[j]}, ["_all"], accuracy, True).first()["_x"]
     return result
 
 
+def _counted(df, cols, values, ends, ranks) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Rows below, at the lower end of and strictly inside each bracket (column, probability)."""
+    counts = []
+    for (i, j), (low, high) in ends.items():
+        v = values[cols[i]]
+        counts += [F.count(F.when(test, 1)).alias(f"{name}{i}_{j}") for name, test in (
+            ("b", v < F.lit(low)), ("l", v == F.lit(low)), ("i", (v > F.lit(low)) & (v < F.lit(high))),
+            ("h", (v == F.lit(high)) & (v > F.lit(low))))]
+    found = df.agg(*counts).first()
+    held = {}
+    for i, j in ends:
+        below, at_low, inside, at_high = (found[f"{name}{i}_{j}"] for name in "blih")
+        if not below <= math.floor(ranks[i, j]) <= math.ceil(ranks[i, j]) < below + at_low + inside + at_high:
+            raise RuntimeError("quantile bracket missed its rank; raise accuracy")
+        held[i, j] = (below, at_low, inside)
+    return held
+
+
+def _narrowed(df, cols, values, ends, ranks, held, accuracy) -> dict[tuple[int, int], tuple[float, float]]:
+    """Closer ends for each bracket, from a sketch of the values strictly inside it.
+
+    Ends that many rows share are left out of the sketch, so each round leaves about a hundredth.
+    """
+    sketches, kept = [], {}
+    for (i, j), (low, high) in ends.items():
+        v = values[cols[i]]
+        below, at_low, inside = held[i, j]
+        low_p, high_p = _brackets((ranks[i, j] - below - at_low) / max(inside - 1, 1), accuracy)
+        kept[i, j] = (low_p <= 0, high_p >= 1)
+        wanted = F.array(F.lit(min(low_p, 1.0)), F.lit(max(high_p, 0.0)))
+        sketches.append(F.percentile_approx(
+            F.when((v > F.lit(low)) & (v < F.lit(high)), v), wanted, F.lit(accuracy)).alias(f"s{i}_{j}"))
+    found = df.agg(*sketches).first()
+    return {k: (low if kept[k][0] else found[f"s{k[0]}_{k[1]}"][0], high if kept[k][1] else found[f"s{k[0]}_{k[1]}"][1])
+            for k, (low, high) in ends.items()}
+
+
 def _sorted_brackets(df, cols, values, brackets) -> dict[tuple[int, int], float]:
     """The quantile of each bracket (column, probability, rank, rows below, low, high) by sorting it."""
     if not brackets:
