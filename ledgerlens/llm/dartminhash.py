@@ -13,12 +13,14 @@ t / (total weight), t = K ln K + 2K, are generated, so a text costs about t dart
 where a coordinate stays empty, that text is thrown for again with twice the rank. The weight axis is
 cut at powers of two, so a heavy element costs a few strips.
 
-**Banded joining.** 40 bands of 8 coordinates: a pair at similarity 0.8 shares no band with a
-probability of 0.0006, one at 0.85 with 2e-6. Texts that agree in a band form a bucket. No bucket is
+**Banded joining.** 32 bands of 7 coordinates: a pair at similarity 0.8 shares no band with a
+probability of 0.0005, one at 0.85 with 4e-6. Texts that agree in a band form a bucket. No bucket is
 turned into all its pairs: its members are first compared with the one member that stands in the most
-and largest buckets, the likely origin of the copies, linked texts become one component, and this is
-repeated with further members. What still lies in one bucket but in different components is compared
-pair by pair, sizes permitting, so no link that the bands offer is lost.
+and largest buckets, the likely origin of the copies, and linked texts become one component. Members
+with so many shingles of their own, found in no other open text, that they cannot be similar enough to
+any text of the bucket leave it; this bound is exact. The rest is compared with further leaders, and
+what then still lies in one bucket but in different components, and may be similar by size and shared
+shingles, is compared pair by pair: no link that the bands offer is lost.
 
 Null texts are linked with nothing and are classes of their own. Texts without a word are only
 linked with equal texts. Repeated rows and equal texts fall into one class. A class is named by its
@@ -39,7 +41,7 @@ from ledgerlens.llm.components import components
 from ledgerlens.session import materialise
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 40, 8
+BANDS, ROWS = 32, 7
 ROUNDS = 4
 _SLICE = 1 << 20
 _U = np.uint64
@@ -111,10 +113,12 @@ def occurrences(data: bytes, powers: _Powers, words: int = WORDS) -> np.ndarray:
 
 
 def signatures(ids: np.ndarray, weights: np.ndarray, sizes: Sequence[int], k: int) -> np.ndarray:
-    """(texts, k) dart ids. `ids` and `weights` hold the elements of all texts end to end, `sizes` elements each.
+    """(texts, k) dart ids, k <= 2048. `ids` and `weights` hold the elements of all texts end to end, `sizes` elements each.
 
     Weights are positive numbers of any kind. A text without elements gets zeros.
     """
+    if k > 2048:
+        raise ValueError("at most 2048 coordinates")
     sizes = np.asarray(sizes, np.int64)
     out = np.zeros((len(sizes), k), np.uint64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -141,7 +145,10 @@ def signatures(ids: np.ndarray, weights: np.ndarray, sizes: Sequence[int], k: in
 
 
 def _throw(own, ids, weights, limit, k):
-    """All darts of each element below its weight and up to its rank limit: owner, dart, rank, coordinate."""
+    """All darts of each element below its weight and up to its rank limit: owner, dart, rank, coordinate.
+
+    The upper bits of a dart give its rank, the lowest eleven its coordinate, a second hash its weight.
+    """
     found = []
     strip, low = 0, 0.0
     while True:
@@ -149,20 +156,30 @@ def _throw(own, ids, weights, limit, k):
         inside = np.flatnonzero(weights > low)
         if not len(inside):
             break
-        o, w, most = own[inside], weights[inside], limit[inside]
+        o, most = own[inside], limit[inside]
+        w = None if (weights[inside] >= high).all() else weights[inside]  # none: every dart of the strip counts
         seed = mix(ids[inside] + _nth(strip + 1))
         rank = np.zeros(len(inside))
         turn = 0
         while len(o):
             turn += 1
             dart = mix(seed + _nth(turn))
-            rank = rank - np.log(unit(dart)) / (high - low)
-            live = np.flatnonzero(rank <= most)
-            o, w, most, seed, rank, dart = o[live], w[live], most[live], seed[live], rank[live], dart[live]
-            second = mix(dart ^ _BASE)
-            hit = low + (high - low) * (unit(second) - 2.0 ** -53) < w
-            which = (mix(second) % _U(k)).astype(np.int64)
-            found.append((o, dart, rank, which) if hit.all() else (o[hit], dart[hit], rank[hit], which[hit]))
+            chance = unit(dart)
+            if turn == 1:  # rank <= most, without a logarithm for each element that gets no dart
+                near = chance >= np.exp(-most * (high - low)) * (1 - 1e-12)
+                o, most, seed, rank, dart, chance = (x[near] for x in (o, most, seed, rank, dart, chance))
+                w = w[near] if w is not None else None
+            rank = rank - np.log(chance) / (high - low)
+            live = rank <= most
+            if not live.all():
+                o, most, seed, rank, dart = (x[live] for x in (o, most, seed, rank, dart))
+                w = w[live] if w is not None else None
+            which = (dart & _U(2047)).astype(np.int64) % k
+            if w is None:
+                found.append((o, dart, rank, which))
+            else:
+                hit = low + (high - low) * (unit(mix(dart ^ _BASE)) - 2.0 ** -53) < w
+                found.append((o[hit], dart[hit], rank[hit], which[hit]))
         strip, low = strip + 1, high
     return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
 
@@ -258,6 +275,25 @@ def _sizes_allow(a, b, similarity: float):
     return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
 
+def _sharing_allows(shared, a, b, similarity: float):
+    """Whether texts of sizes a and b can be similar that have at most `shared` in common."""
+    return shared >= similarity * (a + b - shared) - 1e-9
+
+
+def _without_loners(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The members that can be similar to another one of their bucket, with `common`: how many of their
+    occurrences some other member's text has as well."""
+    grams = sets.join(members.select("node").distinct(), "node").select("node", F.explode("grams").alias("gram"))
+    alone = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    least = members.groupBy("key").agg(F.min("total").alias("least"))
+    common = F.col("total") - F.coalesce("own", F.lit(0))
+    kept = (
+        members.join(own, "node", "left").withColumn("common", common).drop("own").join(least, "key")
+        .where(_sharing_allows(F.col("common"), F.col("total"), F.greatest("least", "common"), similarity)).drop("least"))
+    return kept
+
+
 def near_duplicate_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS,
                            rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """One row per distinct text: text_key, doc_id (its smallest), class_id and the number of the class in
@@ -284,7 +320,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = WORDS, similarity: floa
 
     labels = None
     open_members = members.withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    for turn in range(rounds):
         leaders = materialise(
             open_members.groupBy("key").agg(F.max(F.struct("standing", "node", "total", "label")).alias("best"))
             .select("key", F.col("best.node").alias("leader"), F.col("best.total").alias("leader_total"),
@@ -299,17 +335,20 @@ def near_duplicate_classes(docs: DataFrame, words: int = WORDS, similarity: floa
         left = open_members.drop("label").join(
             leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
         open_members = _in_different_components(left, labels)
+        if not turn:
+            open_members = _in_different_components(
+                _without_loners(open_members.drop("label"), sets, similarity), labels)
         if _cross_pairs(open_members) <= open_members.count():
             break
 
     # The rest, pair by pair: one bucket, different components, sizes that allow a link.
-    other = open_members.select("key", F.col("node").alias("other"), F.col("total").alias("other_total"),
-                                F.col("label").alias("other_label"))
+    other = open_members.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "total", "label", "common")])
     rest = (
         open_members.join(other, "key")
-        .where((F.col("node") > F.col("other")) & (F.col("label") != F.col("other_label"))
-               & _sizes_allow(F.col("total"), F.col("other_total"), similarity))
-        .select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
+        .where((F.col("node") > F.col("other_node")) & (F.col("label") != F.col("other_label"))
+               & _sizes_allow(F.col("total"), F.col("other_total"), similarity)
+               & _sharing_allows(F.least("common", "other_common"), F.col("total"), F.col("other_total"), similarity))
+        .select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct())
     labels = _merged(_linked(rest, sets, similarity), labels)
 
     placed = nodes.join(labels.select(F.col("vertex").alias("node"), "label"), "node", "left") \

@@ -63,9 +63,9 @@ def test_agreement_is_the_weighted_similarity(weights):
     ids = rng.integers(0, 1 << 62, 60).astype(np.uint64)
     a = {"counts": rng.integers(1, 6, 60), "reals": rng.uniform(0.01, 3, 60), "large": rng.uniform(100, 9000, 60)}[weights]
     b = a * rng.uniform(0.6, 1.3, 60) if weights != "counts" else np.maximum(1, a + rng.integers(-2, 3, 60))
-    signed = dm.signatures(np.concatenate([ids, ids]), np.concatenate([a, b]), [60, 60], 3000)
+    signed = dm.signatures(np.concatenate([ids, ids]), np.concatenate([a, b]), [60, 60], 2000)
     want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
-    assert abs((signed[0] == signed[1]).mean() - want) < 4 * np.sqrt(want * (1 - want) / 3000)
+    assert abs((signed[0] == signed[1]).mean() - want) < 4 * np.sqrt(want * (1 - want) / 2000)
 
 
 def test_a_signature_does_not_depend_on_the_texts_beside_it():
