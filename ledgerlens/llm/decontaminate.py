@@ -216,23 +216,23 @@ class Matcher:
         for number, hits in sorted(by_item.items()):
             item = self.items[number]
             m, k = len(item.text), item.budget
+            exact = text.find(item.text)
+            if exact >= 0:
+                found.append((item.item_id, 0, k, exact, exact + m))
+                continue
             at = [(int(chars[p]) if chars is not None else p, piece) for p, piece in hits]
             spans: list[list[int]] = []
-            for start in sorted(p - item.cuts[piece] for p, piece in at if item.may_hold(text, p, piece)):
+            for start, p, piece in sorted((p - item.cuts[piece], p, piece) for p, piece in at):
                 low, high = max(0, start - k), min(len(text), start + m + k)
                 if spans and low <= spans[-1][1]:
                     spans[-1][1] = max(high, spans[-1][1])
-                else:
+                elif item.may_hold(text, p, piece):
                     spans.append([low, high])
             best = (k + 1, 0, 0)
             for low, high in spans:
-                part = text[low:high]
-                exact = part.find(item.text)
-                distance, end = (0, exact + m) if exact >= 0 else nearest(item.run_masks(0, k + 1), m, part)
+                distance, end = nearest(item.run_masks(0, k + 1), m, text[low:high])
                 if distance < best[0]:
                     best = (distance, low, low + end)
-                if distance == 0:
-                    break
             if best[0] <= k:
                 distance, low, end = best
                 back = text[max(low, end - m - k):end][::-1]
@@ -270,7 +270,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_
     Of several rows with one item_id each text counts; the hits then repeat the id.
     """
     context = docs.sparkSession.sparkContext
-    parts = [_searcher(context.broadcast(rows), rate)(field("text")) for rows in _blocks(benchmark, block_bytes)]
+    # Marked as not repeatable, or a filter on the hits would run the search a second time.
+    parts = [_searcher(context.broadcast(rows), rate).asNondeterministic()(field("text")) for rows in _blocks(benchmark, block_bytes)]
     hits = F.concat(*parts) if len(parts) > 1 else parts[0]
     return unpack(docs.select(as_row(docs), hits.alias("hits")), docs.columns, {"hits": F.col("hits")})
 
