@@ -79,10 +79,14 @@ def _quoted(text: object) -> str:
 
 def fit_preprocessor(
     df: DataFrame, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL,
+    fill: Mapping[str, object] | None = None,
 ) -> PipelineModel:
-    """Imputation, one-hot block without unknown values, and the assembled `features` vector."""
+    """Imputation, one-hot block without unknown values, and the assembled `features` vector.
+
+    `fill` is what `learn_imputation` found before, for models that share their rows.
+    """
     require_columns(df, [*numeric, *categorical])
-    fill = learn_imputation(df, numeric, categorical)
+    fill = learn_imputation(df, numeric, categorical) if fill is None else fill
     filled = [f"coalesce(cast(`{c}` AS DOUBLE), {fill[c]!r}D) AS `numeric__{c}`" for c in numeric]
     filled += [f"coalesce(cast(`{c}` AS STRING), {_quoted(fill[c])}) AS `filled__{c}`" for c in categorical]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")]
@@ -146,10 +150,11 @@ def _regressor(target: str, seed: int) -> GBTRegressor:
 def fit_with_params(
     df: DataFrame, params: Mapping[str, object] = BEST_PARAMS, numeric: Sequence[str] = NUMERIC,
     categorical: Sequence[str] = CATEGORICAL, target: str = TARGET, seed: int = 3,
+    fill: Mapping[str, object] | None = None,
 ) -> PipelineModel:
     """Train once with known parameters."""
     require_columns(df, [target])
-    preprocessor = fit_preprocessor(df, numeric, categorical)
+    preprocessor = fit_preprocessor(df, numeric, categorical, fill)
     # Training passes over the vectors several times before it keeps its own copy.
     ready = preprocessor.transform(df).select("features", F.col(target).cast("double").alias(target)).persist()
     model = _regressor(target, seed).setParams(**tree_params(params)).fit(ready)

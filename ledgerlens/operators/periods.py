@@ -9,13 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.calendar import PERIODS, add_year_month, period_label
 from ledgerlens.functions.coerce import safe_numeric
 from ledgerlens.operators.filters import by_year_category, select_measure
 from ledgerlens.operators.outliers import iqr_limits
 from ledgerlens.operators.quantiles import exact_quantiles
+from ledgerlens.session import materialise
 from ledgerlens.schema import DATE, require_columns
 
 GRID_POINTS = 100
@@ -41,7 +42,7 @@ def period_distribution(
 
     Whiskers end at the furthest values within 1.5 interquartile ranges of the box.
     """
-    rows = _period_values(df, value_col, period, filters, start, end, date_col)
+    rows = materialise(_period_values(df, value_col, period, filters, start, end, date_col))
     label = PERIODS[period]
     boxes = exact_quantiles(
         rows, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, [label], bounded_groups=True)
@@ -74,7 +75,7 @@ def period_density(
     period's median. A period with one distinct value has density 1 at that value. `log_scale`
     adds the base-10 logarithm of the grid value, null where it is not positive.
     """
-    rows = _period_values(df, value_col, period, filters, start, end, date_col)
+    rows = materialise(_period_values(df, value_col, period, filters, start, end, date_col))
     label = PERIODS[period]
     medians = exact_quantiles(rows, "value", {"median": 0.5}, [label], bounded_groups=True)
     shapes = rows.groupBy(label).agg(
@@ -82,23 +83,25 @@ def period_density(
         F.stddev_samp("value").alias("_std"),
     ).join(F.broadcast(medians), label)
     step = (F.col("_high") - F.col("_low")) / (points - 1)
-    grid = shapes.select(
-        label, "median", "_n",
-        (F.col("_std") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_width"),
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_low") + step * i))
-        .alias("point", "grid_value"),
-    )
-    # Equal values are counted first, so the kernel is evaluated once per distinct value.
-    counted = rows.groupBy(label, "value").agg(F.count(F.lit(1)).alias("_copies"))
-    distance = (F.col("grid_value") - F.col("value")) / F.col("_width")
-    kernel = F.when(F.col("_width") > 0, F.exp(-0.5 * distance * distance)).when(
-        F.col("grid_value") == F.col("value"), 1.0).otherwise(0.0)
+    shapes = shapes.select(
+        label, "median", "_n", "_low", step.alias("_step"),
+        (F.col("_std") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_width"))
+    # Equal values are counted first, so a kernel is evaluated once per distinct value; the grid is one
+    # sum per point, and only the finished periods are turned into rows.
+    counted = rows.groupBy(label, "value").agg(F.count(F.lit(1)).alias("_copies")).join(F.broadcast(shapes), label)
+
+    def kernel(grid: Column) -> Column:
+        distance = (grid - F.col("value")) / F.col("_width")
+        return F.when(F.col("_width") > 0, F.exp(-0.5 * distance * distance)).when(grid == F.col("value"), 1.0).otherwise(0.0)
+
+    grid = [F.col("_low") + F.col("_step") * i for i in range(points)]
+    masses = counted.groupBy(label, "median", "_n", "_low", "_step", "_width").agg(
+        *[F.sum(kernel(g) * F.col("_copies")).alias(f"_mass_{i}") for i, g in enumerate(grid)])
+    entries = [F.struct(F.lit(i).alias("point"), g.alias("grid_value"), F.col(f"_mass_{i}").alias("_mass")) for i, g in enumerate(grid)]
     norm = F.when(F.col("_width") > 0, F.col("_n") * F.col("_width") * math.sqrt(2 * math.pi)).otherwise(F.col("_n"))
     out = (
-        counted.join(F.broadcast(grid), label)
-        .groupBy(label, "point", "grid_value", "median", "_n", "_width")
-        .agg(F.sum(kernel * F.col("_copies")).alias("_mass"))
-        .select(label, "point", "grid_value", (F.col("_mass") / norm).alias("density"), "median")
+        masses.select(label, "median", "_n", "_width", F.explode(F.array(*entries)).alias("_e"))
+        .select(label, "_e.point", "_e.grid_value", (F.col("_e._mass") / norm).alias("density"), "median")
     )
     if log_scale:
         out = out.withColumn("log_value", F.when(F.col("grid_value") > 0, F.log10("grid_value")))

@@ -12,12 +12,12 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
-from ledgerlens.operators.boosted import HYBRID_NUMERIC, KEY, NUMERIC, TARGET, fit_with_params, predict
+from ledgerlens.operators.boosted import CATEGORICAL, HYBRID_NUMERIC, KEY, NUMERIC, TARGET, fit_with_params, learn_imputation, predict
 from ledgerlens.operators.evaluation import segment_report
 from ledgerlens.operators.features import build_features
 from ledgerlens.operators.filters import by_year, split_by_year
 from ledgerlens.operators.forest import BEST_PARAMS as FOREST_PARAMS, ForestModel, fit_forest
-from ledgerlens.operators.joins import align_models, join_scores
+from ledgerlens.operators.joins import join_scores
 from ledgerlens.operators.quality import apply_all_fixes
 from ledgerlens.schema import GROUP
 from ledgerlens.session import materialise
@@ -55,13 +55,15 @@ def compare_models(
 ) -> Comparison:
     """Train with and without the anomaly columns, report both per anomaly segment of the test years."""
     extra = [c for c in HYBRID_NUMERIC if c not in NUMERIC]
-    joined = join_scores(features, scored)
+    # Written once: the join feeds the imputation, both fits and the predictions.
+    joined = materialise(join_scores(features, scored))
     train, test = split_by_year(joined, train_years, test_years, year_col="year")
-    baseline = fit_with_params(train, baseline_params, numeric)
-    hybrid = fit_with_params(train, hybrid_params or baseline_params, [*numeric, *extra])
-    left = predict(baseline, test, "baseline_pred").select(*KEY, TARGET, "baseline_pred")
-    right = predict(hybrid, test, "anomaly_pred").select(*KEY, TARGET, "anomaly_flag", "anomaly_pred")
-    aligned = materialise(align_models(left, right, KEY))
+    fill = learn_imputation(train, [*numeric, *extra], CATEGORICAL)
+    baseline = fit_with_params(train, baseline_params, numeric, fill=fill)
+    hybrid = fit_with_params(train, hybrid_params or baseline_params, [*numeric, *extra], fill=fill)
+    # Both models see the same rows; tables from elsewhere are brought together by `align_models`.
+    both = predict(hybrid, predict(baseline, test, "baseline_pred"), "anomaly_pred")
+    aligned = materialise(both.select(*KEY, TARGET, "anomaly_flag", "baseline_pred", "anomaly_pred"))
     if aligned.isEmpty():
-        raise ValueError("no row of the two tables shares its ids")
+        raise ValueError("no row in the test years")
     return Comparison(baseline, hybrid, aligned, segment_report(aligned))

@@ -14,15 +14,16 @@ from ledgerlens.operators.ordered import POSITION, with_position
 MAX_SENSORS = 4
 
 
-def scan_signal_files(spark: SparkSession, path: str, max_sensors: int | None = None) -> DataFrame:
+def scan_signal_files(spark: SparkSession, path: str, max_sensors: int | None = None, levels: int = 1) -> DataFrame:
     """(folder, file_name, sensor, value), one row per number; sensors count from 1.
 
-    `path` may be one run folder or a pattern for many; `folder` is the name of the file's own.
+    `path` may be one run folder or a pattern for many; `folder` is the name of the file's own. With
+    `levels` 2 a time step is a folder of part files, named by that folder.
     """
     cells = F.split(F.trim("value"), r"\s+")
     lines = spark.read.text(path).where(F.trim("value") != "").select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("folder"),
-        F.col("_metadata.file_name").alias("file_name"),
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1 - levels).alias("folder"),
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -levels).alias("file_name"),
         (cells if max_sensors is None else F.slice(cells, 1, max_sensors)).alias("_cells"),
     )
     return lines.select("folder", "file_name", F.posexplode("_cells").alias("_i", "_cell")).select(

@@ -21,17 +21,24 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return nan_to_null(reader.schema(schema).csv(path))
 
 
-def scan_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Parquet, optionally some columns; a missing path is an error."""
+def scan_parquet(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, nan_as_null: bool = False,
+) -> DataFrame:
+    """Parquet, optionally some columns; a missing path is an error.
+
+    Tables this package wrote hold no NaN, so that predicates on measures reach the files. For others
+    `nan_as_null` replaces NaN on reading, which keeps such predicates from being pushed down.
+    """
     df = spark.read.parquet(path)
-    return nan_to_null(df.select(*columns) if columns is not None else df)
+    df = df.select(*columns) if columns is not None else df
+    return nan_to_null(df) if nan_as_null else df
 
 
 def sink_parquet(
     df: DataFrame, path: str, compression: str = CODEC, overwrite: bool = True, partition_by: Sequence[str] = (),
 ) -> None:
-    """Write Parquet; without `overwrite` an existing path is an error."""
-    writer = df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", compression)
+    """Write Parquet, NaN as null; without `overwrite` an existing path is an error."""
+    writer = nan_to_null(df).write.mode("overwrite" if overwrite else "errorifexists").option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -218,7 +218,7 @@ def test_grid_settings_map_to_tree_settings():
     assert boosted.tree_params({"num_leaves": 63, "max_depth": 4})["maxDepth"] == 4
 
 
-def test_complete_run(spark, tmp_path):
+def test_complete_run(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(11)
     days = pd.date_range("2021-01-01", "2022-12-31")
     rows = [sale(i, rng.choice(["p", "q"]), "n", str(rng.choice(days))[:10], float(rng.integers(1, 30))) for i in range(1500)]
@@ -229,7 +229,13 @@ def test_complete_run(spark, tmp_path):
     _, scored = plans.write_scores(built, [2021], str(tmp_path / "scored"),
                                    {"n_estimators": 20, "max_samples": 64, "contamination": 0.05})
     assert scored.count() == built.count()
+    calls = []
+    for name in ("join_scores", "learn_imputation"):
+        monkeypatch.setattr(plans, name, lambda *a, real=getattr(plans, name), name=name: calls.append(name) or real(*a))
     result = plans.compare_models(built, scored, [2021], [2022], PARAMS)
+    assert calls == ["join_scores", "learn_imputation"]
+    seen = result.predictions._jdf.queryExecution().executedPlan().toString()
+    assert seen.count("FileScan") == 1  # written once, with both predictions
     report = result.report.toPandas()
     assert report["count"].sum() == built.where("year = 2022").count()
     assert (report["baseline_mae"] >= 0).all()

@@ -65,7 +65,7 @@ def test_column_quantiles_match_pandas(spark, skewed, monkeypatch):
     df = spark.createDataFrame(skewed).repartition(6)
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
     for limit in (10 ** 6, 10):
-        monkeypatch.setattr(quantiles, "_SORTED_ROWS", limit)
+        monkeypatch.setattr(quantiles, "_FEW", limit)
         got = column_quantiles(df, ["x", "z"], probs, accuracy=300)
         for c in ("x", "z"):
             assert np.allclose(got[c], skewed[c].quantile(probs))

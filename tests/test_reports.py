@@ -125,3 +125,13 @@ def test_sensor_files(spark, tmp_path):
     assert [r["file_name"] for r in out] == ["2003.10.22.12.06.24", "2003.10.22.12.16.24", "notes.txt"]
     assert [r["RUL"] for r in out] == [2, 1, 0] and out[2]["timestamp"] is None
     assert out[0]["s1_std"] == 1.0 and out[0]["s1_rms"] == 1.0 and out[0]["s4_mean"] == 4.0 and "s5_mean" not in out[0]
+
+
+def test_predicates_on_measures_reach_the_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.sink_parquet(spark.createDataFrame([(1, 2.0), (2, float("nan"))], "k int, x double"), path)
+    plan = tables.scan_parquet(spark, path).where("x > 1")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(x,1.0)" in plan.split("PushedFilters:")[1].split("]")[0]
+    assert tables.scan_parquet(spark, path).where("x is null").count() == 1
+    spark.createDataFrame([(float("nan"),)], "x double").write.parquet(str(tmp_path / "u"))
+    assert tables.scan_parquet(spark, str(tmp_path / "u"), nan_as_null=True).first()["x"] is None

@@ -20,7 +20,7 @@ from ledgerlens.operators.quantiles import column_quantiles, robust_center_scale
 from ledgerlens.operators.anomalies import anomaly_rows
 from workload import views
 from workload.registry import once, path_for, query, tidy, written
-from workload.sql import r6, using
+from workload.sql import INPUTS, r6, using
 from workload.tables import SIGNAL_SQL, TEST_YEARS, TRAIN_YEARS
 
 KEYS = ["Product", "Region", "Order_Date"]
@@ -172,14 +172,6 @@ def isolation_forest_grid(spark, sf):
 
 # Boosted regression --------------------------------------------------------------------------
 
-# The numeric inputs of the models, written out for the SQL.
-INPUTS = (
-    "total_price_sum", "unit_price_mean", "discount_mean", "order_count", "customer_count", "avg_ticket",
-    "day_of_week", "month", "is_weekend", "quantity_sum_mean_7d", "quantity_sum_std_7d", "quantity_sum_sum_7d",
-    "total_price_sum_mean_7d", "total_price_sum_std_7d", "total_price_sum_mean_30d", "unit_price_mean_mean_7d",
-    "discount_mean_mean_14d", "quantity_vs_mean_7d", "total_price_vs_mean_30d", "quantity_pct_vs_mean_7d",
-    "history_less_than_7d", "history_less_than_30d",
-)
 MEDIANS_OF_INPUTS = "select " + ", ".join(f"quantile_cont({c}, 0.5) as m_{c}" for c in INPUTS) + " from features where year(Order_Date) <= 1999"
 FILLED_INPUTS = ", ".join(r6(f"coalesce({c}, m_{c}, 0)", c) for c in INPUTS)
 

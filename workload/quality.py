@@ -32,14 +32,35 @@ def _violation(tolerance):
     }
 
 
+# Name, severity and advice of each rule, written out so that the SQL does not take
+# them from the code it checks.
+RULE_TEXTS = {
+    "quantity_missing": ("Missing Quantity", "Medium", "Impute missing Quantity with zero if business meaning is 'no units sold'."),
+    "quantity_negative": ("Negative Quantity", "High", "Replace negative Quantity with zero or review source transactions."),
+    "discount_missing": ("Missing Discount", "Low", "Set missing Discount to zero."),
+    "discount_negative": ("Negative Discount", "High", "Set negative Discount to zero."),
+    "discount_above_one": ("Discount Above One", "High", "Clip Discount to valid range [0, 1]."),
+    "customer_type_invalid": ("Invalid Customer Type", "Medium", "Review or standardize Customer_Type values to B2B/B2C."),
+    "b2c_discount": ("B2C Discount Rule Violation", "High", "Set Discount to zero for B2C records."),
+    "order_date_invalid": ("Invalid Order Date", "High", "Parse Order_Date and review invalid date records."),
+    "duplicates": ("Exact Duplicate Rows", "Medium", "Remove exact duplicate rows."),
+    "total_price": ("Total Price Consistency", "High", "Recalculate Total_Price."),
+}
+# Measures of the wide set and those that may not be negative.
+WIDE_METRICS = ("quantity_sum", "total_price_sum", "unit_price_mean", "discount_mean", "order_count", "avg_ticket")
+WIDE_DEVIATIONS = (("quantity", "quantity_sum"), ("total_price", "total_price_sum"),
+                   ("unit_price", "unit_price_mean"), ("discount", "discount_mean"))
+NON_NEGATIVE = ("quantity_sum", "total_price_sum", "order_count", "customer_count", "avg_ticket")
+
+
 def _counts(tolerance):
     rows = []
-    for i, (key, rule) in enumerate(quality.RULES.items()):
+    for i, (key, (name, severity, advice)) in enumerate(RULE_TEXTS.items()):
         cond = _violation(tolerance)[key]
         count = (f"(select count(*) from dirty where {cond})" if cond
                  else "(select count(*) from dirty) - (select count(*) from (select distinct * from dirty) u)")
-        rows.append(f"select {i} as no, '{rule.name}' as rule_name, cast({count} as bigint) as issue_count, "
-                    f"'{rule.severity}' as severity, '{rule.recommendation.replace(chr(39), chr(39) * 2)}' as recommendation")
+        rows.append(f"select {i} as no, '{name}' as rule_name, cast({count} as bigint) as issue_count, "
+                    f"'{severity}' as severity, '{advice.replace(chr(39), chr(39) * 2)}' as recommendation")
     return " union all ".join(rows)
 
 
@@ -56,7 +77,7 @@ def _summary(title, underline, source):
 
 
 def _rule_query(key, tolerance=0.1):
-    name = quality.RULES[key].name
+    name = RULE_TEXTS[key][0]
 
     @query(f"dq_{key}", using("dirty", _report(", recommendation") + f" from c where rule_name = '{name}'", c=_counts(tolerance)))
     def run(spark, sf):
@@ -197,10 +218,10 @@ def rebuild_flags(spark, sf):
 
 # The wide set -------------------------------------------------------------------------------
 
-WIDE_GROUP = ("Category", "Region")
-WIDE = [(m, s, w) for w in (7, 14, 30) for m in features.WIDE_METRICS for s in ("mean", "std", "sum")]
+WIDE_GROUP = ("Product", "Region")
+WIDE = [(m, s, w) for w in (7, 14, 30) for m in WIDE_METRICS for s in ("mean", "std", "sum")]
 WIDE_COLUMNS = [f"{m}_{s}_{w}d" for m, s, w in WIDE]
-WIDE_VS = [(f"{a}_vs_mean_{w}d", m, f"{m}_mean_{w}d") for w in (7, 14, 30) for a, m in features.WIDE_DEVIATIONS]
+WIDE_VS = [(f"{a}_vs_mean_{w}d", m, f"{m}_mean_{w}d") for w in (7, 14, 30) for a, m in WIDE_DEVIATIONS]
 WIDE_PCT = [f"quantity_pct_vs_mean_{w}d" for w in (7, 14, 30)]
 
 
@@ -253,13 +274,14 @@ def pct_features_full(spark, sf):
 # Feature quality ----------------------------------------------------------------------------
 
 UNFILLED = [*sql.ROLLING_COLUMNS, *sql.DEVIATIONS]
+# The texts of the feature rules.
 FQ = f"""
 select 0 as no, 'Missing Derived Feature Values' as rule_name, 'High' as severity,
  'Apply fix_missing_feature_values().' as recommendation,
  cast((select {' + '.join(f'(count(*) - count({c}))' for c in UNFILLED)} from framed) as bigint) as issue_count
 union all select 1, 'Negative Aggregated Metrics', 'Medium',
  'Review raw transactional data before feature generation.',
- cast((select {' + '.join(f'count(case when {c} < 0 then 1 end)' for c in feature_quality.NON_NEGATIVE)} from framed) as bigint)
+ cast((select {' + '.join(f'count(case when {c} < 0 then 1 end)' for c in NON_NEGATIVE)} from framed) as bigint)
 union all select 2, 'Invalid Calendar Features', 'Low', 'Rebuild calendar features from parsed Order_Date.',
  cast((select count(case when day_of_week not between 0 and 6 then 1 end) + count(case when month not between 1 and 12 then 1 end)
   + count(case when is_weekend not in (0, 1) then 1 end) from framed) as bigint)

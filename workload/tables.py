@@ -123,15 +123,39 @@ def signal_stats(spark, sf):
 @query("sensor_run_features", using("signals", """
  select run_id, dense_rank() over (partition by run_id order by file_name) - 1 as time_index, file_name,
   strptime(file_name, '%Y.%m.%d.%H.%M.%S') as "timestamp", """ + ", ".join(
-    r6(f"s{i}_{n}") for i in range(1, 5) for n in STATS) + """,
+    r6(f"s{i}_{n}") for i in range(1, 6) for n in STATS) + """,
   count(*) over (partition by run_id) - dense_rank() over (partition by run_id order by file_name) as RUL
  from (select run_id, file_name, """ + ", ".join(
-    f"{e} as s{i}_{n}" for i in range(1, 5) for n, e in _stats_sql(f"sensor = {i}").items())
+    f"{e} as s{i}_{n}" for i in range(1, 6) for n, e in _stats_sql(f"sensor = {i}").items())
     + " from signals group by run_id, file_name) f"))
 def sensor_run_features(spark, sf):
-    run = sensor.sensor_run_features(views.signals(spark, sf))
+    run = sensor.sensor_run_features(views.signals(spark, sf), max_sensors=5)
     return tidy(run.select("run_id", "time_index", "file_name", "timestamp",
-                           *[f"s{i}_{n}" for i in range(1, 5) for n in STATS], "RUL"))
+                           *[f"s{i}_{n}" for i in range(1, 6) for n in STATS], "RUL"))
+
+
+@query("sensor_files_to_features", using("signals", """
+ select run_id, dense_rank() over (partition by run_id order by file_name) - 1 as time_index, file_name,
+  strptime(file_name, '%Y.%m.%d.%H.%M.%S') as "timestamp", """ + ", ".join(
+    r6(f"s{i}_{n}") for i in range(1, 4) for n in STATS) + """,
+  count(*) over (partition by run_id) - dense_rank() over (partition by run_id order by file_name) as RUL
+ from (select run_id, file_name, """ + ", ".join(
+    f"{e} as s{i}_{n}" for i, v in ((1, "value"), (2, "value * 2"), (3, "value / 4"))
+    for n, e in {k: x.replace("then value end", f"then {v} end") for k, x in _stats_sql().items()}.items())
+    + " from signals group by run_id, file_name) f"))
+def sensor_files_to_features(spark, sf):
+    """Three-sensor text files, one folder per run and one file per hour, read back and turned into run features."""
+    path = path_for(spark, "runs")
+    events = views.signals(spark, sf)
+    line = F.concat_ws("  ", "value", F.col("value") * 2, F.col("value") / 4).alias("value")
+    events.select(F.col("run_id").alias("run"), F.col("file_name").alias("hour"), line).write.partitionBy("run", "hour").text(path)
+    # One folder per hour stands for the file of that name.
+    read = sensor.scan_signal_files(spark, f"{path}/*/*", max_sensors=4, levels=2)
+    rows = read.select(F.split("folder", "=")[1].cast("bigint").alias("run_id"), F.split("file_name", "=")[1].alias("file_name"),
+                       "sensor", "value")
+    run = sensor.sensor_run_features(rows, max_sensors=3)
+    return tidy(run.select("run_id", "time_index", "file_name", "timestamp",
+                           *[f"s{i}_{n}" for i in range(1, 4) for n in STATS], "RUL"))
 
 
 @query("filename_timestamp", using("signals", """
@@ -216,7 +240,7 @@ def split_by_year(spark, sf):
 @query("select_features", using("features", "select " + sql.show(
     ["Product", "Region", "order_count", "customer_count", "day_of_week", "month", "is_weekend",
      "history_less_than_7d", "history_less_than_30d"],
-    [c for c in boosted.NUMERIC if c not in ("order_count", "customer_count", "day_of_week", "month", "is_weekend",
+    [c for c in sql.INPUTS if c not in ("order_count", "customer_count", "day_of_week", "month", "is_weekend",
                                              "history_less_than_7d", "history_less_than_30d")] + ["quantity_sum"])
     + " from features"))
 def select_features(spark, sf):
@@ -249,16 +273,21 @@ def join_features_keys(spark, sf):
     return joined.select("Order_ID", "line_no", "part_no", "supp_no", *KEYS, "Category_x", "Category_y")
 
 
-@query("join_features_to_sales", using("sales", f"""select s.Order_ID, s.line_no, s.part_no, s.supp_no, s.Category,
- s.Product, s.Region, cast(s.Order_Date as date) as Order_Date, f.order_count,
- {r6('f.quantity_sum', 'quantity_sum')}, {r6('f.avg_ticket', 'avg_ticket')}
- from sales s left join f on s.Category = f.Category and s.Product = f.Product and s.Region = f.Region
- and cast(s.Order_Date as date) = f.Order_Date""", f=sql.daily(GROUP3)))
+JOINED = ["quantity_sum", "total_price_sum", "unit_price_mean", "discount_mean", "avg_ticket",
+          *sql.ROLLING_COLUMNS, *sql.DEVIATIONS, *sql.TARGETS]
+JOINED_WHOLE = ["order_count", "customer_count", *sql.CALENDAR, *sql.FLAGS]
+
+
+@query("join_features_to_sales", using("sales features", f"""select s.Order_ID, s.line_no, s.part_no, s.supp_no, s.Category,
+ s.Product, s.Region, cast(s.Order_Date as date) as Order_Date, {', '.join('f.' + c for c in JOINED_WHOLE)},
+ {', '.join(r6('f.' + c, c) for c in JOINED)}
+ from sales s left join features f on s.Product = f.Product and s.Region = f.Region
+ and cast(s.Order_Date as date) = f.Order_Date"""))
 def join_features_to_sales(spark, sf):
+    """Every sale with the whole feature row of its product, region and day."""
     sales = views.sales(spark, sf)
-    joined = joins.join_features(filters.drop_invalid_dates(sales), daily_metrics(sales, GROUP3))
-    return tidy(joined.select("Order_ID", "line_no", "part_no", "supp_no", "Category", *KEYS, "order_count",
-                              "quantity_sum", "avg_ticket"))
+    joined = joins.join_features(filters.drop_invalid_dates(sales), views.features(spark, sf), KEYS)
+    return tidy(joined.select("Order_ID", "line_no", "part_no", "supp_no", "Category", *KEYS, *JOINED_WHOLE, *JOINED))
 
 
 @query("join_features_anomalies", using("scores", f"""select {', '.join('f.' + k for k in KEYS)},
