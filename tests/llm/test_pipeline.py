@@ -2,6 +2,7 @@ import corpus_pipeline as cp
 import __spark_entry__ as entry
 from ledgerlens.llm import decontaminate, mixing
 from ledgerlens.llm.common import DOCUMENT_COLUMNS
+from ledgerlens.session import materialise
 from tests.llm.conftest import ODD_ROWS, SF, documents
 from tests.llm.test_near_duplicates import classes_by_pairs
 
@@ -40,12 +41,7 @@ def test_the_whole_run_and_empty_and_odd_tables(spark, docs):
     assert entry.queries()["pipeline"] is cp.run
     assert [n for n, _ in cp.STAGES] == ["language_id", "near_dedup", "decontamination", "mixing", "sharding"]
     for table in (docs.where("false"), documents(spark, ODD_ROWS, ["extra", "shard"])):
-        for name, stage in cp.STAGES:
-            rows = stage(spark, table, SF).toPandas()
-            shape = rows.iloc[:0]
-            table = spark.createDataFrame(rows.astype(object).where(rows.notna(), None).values.tolist(),
-                                          "doc_id bigint, text string, lang string, source string, n_chars bigint"
-                                          + (", shard int, slot bigint" if name == "sharding" else "")) if len(rows) else \
-                spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"),
-                                                                           ("source", "string"), ("n_chars", "bigint"))))
-            assert set(DOCUMENT_COLUMNS) <= set(shape.columns)
+        for _, stage in cp.STAGES:
+            table = materialise(stage(spark, table, SF))
+            assert set(DOCUMENT_COLUMNS) <= set(table.columns)
+        assert table.columns == [*DOCUMENT_COLUMNS, "shard", "slot"]
