@@ -168,12 +168,13 @@ def _row_hash(seed: int, columns: Sequence[str]) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
 
 
-def draw_pool(df: DataFrame, columns: Sequence[str], wanted: int, seed: int) -> DataFrame:
+def draw_pool(df: DataFrame, columns: Sequence[str], wanted: int, seed: int, rows: int | None = None) -> DataFrame:
     """About `wanted` rows (all, if there are fewer), chosen by a hash of the row.
 
-    The choice does not depend on the partitioning. Adds the hash as `_hash`.
+    The choice does not depend on the partitioning. Adds the hash as `_hash`. `rows` is the number of
+    rows of `df`, if it is known.
     """
-    total = df.count()
+    total = df.count() if rows is None else rows
     hashed = df.withColumn("_hash", _row_hash(seed, columns))
     share = (wanted + 10 * math.sqrt(wanted)) / max(total, 1)
     if share >= 1:
@@ -359,12 +360,13 @@ def search_forest(
     scaled = robust_scale(impute_median(signals, medians), medians, scales)
     fold = F.pmod(_row_hash(seed + 1, key_cols), F.lit(folds)).cast("int")
     folded = scaled.withColumn("_fold", fold)
+    rows = folded.count()
     counts = sorted(grid["n_estimators"])
     largest = counts[-1]
     tables = []
     for max_features, max_samples in itertools.product(grid["max_features"], grid["max_samples"]):
         others = F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col("_fold"))
-        pool = draw_pool(folded, [*key_cols, *FEATURES], largest * max_samples * folds // max(folds - 1, 1), seed)
+        pool = draw_pool(folded, [*key_cols, *FEATURES], largest * max_samples * folds // max(folds - 1, 1), seed, rows)
         pool = pool.withColumn("_fold", F.explode(others))
         nodes = grow_forest(pool, FEATURES, largest, max_samples, max_features, seed)
         scored = _fold_scores(folded, nodes, counts, max_samples)

@@ -20,12 +20,16 @@ from ledgerlens.operators.forest import BEST_PARAMS as FOREST_PARAMS, ForestMode
 from ledgerlens.operators.joins import join_scores
 from ledgerlens.operators.quality import apply_all_fixes
 from ledgerlens.schema import GROUP
-from ledgerlens.session import materialise
+from ledgerlens.session import materialise, split_hot_keys
 from ledgerlens.sources.tables import export_scored, scan_parquet, sink_parquet
 
 
 def write_features(raw: DataFrame, path: str, group_cols: Sequence[str] = GROUP) -> DataFrame:
-    """Fix the raw sales, build the features and write them by year, so that splits skip files."""
+    """Fix the raw sales, build the features and write them by year, so that splits skip files.
+
+    As all runs here, it lets the session split hot join keys.
+    """
+    split_hot_keys(raw.sparkSession)
     features = build_features(apply_all_fixes(raw), group_cols)
     sink_parquet(features, path, partition_by=["year"])
     return scan_parquet(raw.sparkSession, path)
@@ -54,6 +58,7 @@ def compare_models(
     hybrid_params: Mapping[str, object] | None = None, numeric: Sequence[str] = NUMERIC,
 ) -> Comparison:
     """Train with and without the anomaly columns, report both per anomaly segment of the test years."""
+    split_hot_keys(features.sparkSession)
     extra = [c for c in HYBRID_NUMERIC if c not in NUMERIC]
     # Written once: the join feeds the imputation, both fits and the predictions.
     joined = materialise(join_scores(features, scored))
