@@ -15,12 +15,12 @@ cut at powers of two, so a heavy element costs a few strips.
 
 **Banded joining.** 32 bands of 7 coordinates: a pair at similarity 0.8 shares no band with a
 probability of 0.0005, one at 0.85 with 4e-6. Texts that agree in a band form a bucket. No bucket is
-turned into all its pairs: its members are first compared with the one member that stands in the most
-and largest buckets, the likely origin of the copies, and linked texts become one component. Members
+turned into all its pairs: each text is first compared with the one text beside it that stands in the
+most and largest buckets, the likely origin of its copies, and linked texts become one component. Members
 with so many shingles of their own, found in no other open text, that they cannot be similar enough to
-any text of the bucket leave it; this bound is exact. The rest is compared with further leaders, and
-what then still lies in one bucket but in different components, and may be similar by size and shared
-shingles, is compared pair by pair: no link that the bands offer is lost.
+any text of the bucket leave it; this bound is exact. What then still lies in one bucket but in different
+components is compared in blocks, exactly and without a row per pair: a cell of two blocks emits only
+links between components it has not yet joined. So no link that the bands offer is lost.
 
 Null texts are linked with nothing and are classes of their own. Texts without a word are only
 linked with equal texts. Repeated rows and equal texts fall into one class. A class is named by its
@@ -34,6 +34,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.llm.common import as_row, field, unpack
@@ -42,7 +43,8 @@ from ledgerlens.session import materialise
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
-ROUNDS = 4
+BLOCK = 256
+_COLUMNS = 4096
 _SLICE = 1 << 20
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -264,13 +266,6 @@ def _in_different_components(members: DataFrame, labels: DataFrame) -> DataFrame
     return materialise(marked.join(open_keys, "key"))
 
 
-def _cross_pairs(members: DataFrame) -> int:
-    """How many pairs of members of one bucket lie in different components."""
-    per_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    per_key = per_label.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    return int(per_key.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0))).first()[0])
-
-
 def _sizes_allow(a, b, similarity: float):
     return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
@@ -294,8 +289,67 @@ def _without_loners(members: DataFrame, sets: DataFrame, similarity: float) -> D
     return kept
 
 
+def cell_links(nodes, labels, blocks, grams, similarity: float) -> list[tuple[int, int]]:
+    """Links (a, b) between similar texts of different labels in one cell; each joins two labels not yet joined there.
+
+    A cell holds the texts of one block, or of two blocks, of which only pairs across are looked at.
+    """
+    sizes = np.array([len(g) for g in grams])
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    _, number, held = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    column = np.cumsum(held > 1) - 1  # occurrences of one text alone are left out
+    own, at = owner[held[number] > 1], column[number[held[number] > 1]]
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    shared = np.zeros((len(nodes), len(nodes)), np.float32)
+    for first in range(0, at[-1] + 1 if len(at) else 0, _COLUMNS):
+        low, high = np.searchsorted(at, [first, first + _COLUMNS])
+        part = np.zeros((len(nodes), _COLUMNS), np.float32)
+        part[own[low:high], at[low:high] - first] = 1
+        shared += part @ part.T
+    near = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+    near &= np.triu(labels[:, None] != labels[None, :], 1)
+    if len(set(blocks)) > 1:
+        near &= blocks[:, None] != blocks[None, :]
+    parent = {label: label for label in labels}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = []
+    for i, j in np.argwhere(near):
+        x, y = top(labels[i]), top(labels[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            links.append((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j]))))
+    return links
+
+
+def _links_in_blocks(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between the members of a bucket that lie in different components.
+
+    A bucket is cut into blocks, and each two blocks meet in one bounded cell, which emits fewer links
+    than it holds texts.
+    """
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = (
+        members.join(blocks, "key").select("key", "node", "label", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("key", "node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .join(sets, "node"))
+
+    def meet(cell: pa.Table) -> pa.Table:
+        found = cell_links(cell["node"].to_numpy(), cell["label"].to_numpy(), cell["block"].to_numpy(),
+                           [np.asarray(g) for g in cell["grams"].combine_chunks().to_numpy(zero_copy_only=False)], similarity)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return cells.groupBy("key", "low", "high").applyInArrow(meet, "a long, b long").distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS,
-                           rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+                           rows: int = ROWS) -> DataFrame:
     """One row per distinct text: text_key, doc_id (its smallest), class_id and the number of the class in
     this run (`component`). Null texts are left out."""
     texts = docs.select(field("doc_id").alias("doc_id"), field("text").alias("text")).where("text is not null") \
@@ -318,38 +372,15 @@ def near_duplicate_classes(docs: DataFrame, words: int = WORDS, similarity: floa
     weighed = sets.select("node", F.size("grams").alias("total")).join(standing, "node")
     members = materialise(sharing.select("key", "node").join(weighed, "node"))
 
-    labels = None
-    open_members = members.withColumn("label", F.col("node"))
-    for turn in range(rounds):
-        leaders = materialise(
-            open_members.groupBy("key").agg(F.max(F.struct("standing", "node", "total", "label")).alias("best"))
-            .select("key", F.col("best.node").alias("leader"), F.col("best.total").alias("leader_total"),
-                    F.col("best.label").alias("leader_label")))
-        pairs = (
-            open_members.join(leaders, "key")
-            .where((F.col("label") != F.col("leader_label"))
-                   & _sizes_allow(F.col("total"), F.col("leader_total"), similarity))
-            .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
-        labels = _merged(_linked(pairs, sets, similarity), labels)
-        # A leader has met its whole bucket.
-        left = open_members.drop("label").join(
-            leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
-        open_members = _in_different_components(left, labels)
-        if not turn:
-            open_members = _in_different_components(
-                _without_loners(open_members.drop("label"), sets, similarity), labels)
-        if _cross_pairs(open_members) <= open_members.count():
-            break
-
-    # The rest, pair by pair: one bucket, different components, sizes that allow a link.
-    other = open_members.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "total", "label", "common")])
-    rest = (
-        open_members.join(other, "key")
-        .where((F.col("node") > F.col("other_node")) & (F.col("label") != F.col("other_label"))
-               & _sizes_allow(F.col("total"), F.col("other_total"), similarity)
-               & _sharing_allows(F.least("common", "other_common"), F.col("total"), F.col("other_total"), similarity))
-        .select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct())
-    labels = _merged(_linked(rest, sets, similarity), labels)
+    # Each text first meets one other only: the member of any of its buckets that stands out most.
+    heads = members.groupBy("key").agg(F.max(F.struct("standing", "node", "total")).alias("best"))
+    origins = members.join(heads, "key").groupBy("node", "total").agg(F.max("best").alias("best")).where(
+        (F.col("node") != F.col("best.node")) & _sizes_allow(F.col("total"), F.col("best.total"), similarity))
+    pairs = origins.select(F.greatest("node", "best.node").alias("a"), F.least("node", "best.node").alias("b")).distinct()
+    labels = _merged(_linked(pairs, sets, similarity), None)
+    open_members = _in_different_components(members, labels)
+    open_members = _in_different_components(_without_loners(open_members.drop("label"), sets, similarity), labels)
+    labels = _merged(_links_in_blocks(open_members, sets, similarity), labels)
 
     placed = nodes.join(labels.select(F.col("vertex").alias("node"), "label"), "node", "left") \
         .select("text_key", "doc_id", F.coalesce("label", "node").alias("label"))
