@@ -218,7 +218,7 @@ def _band_column(words: int, bands: int, rows: int):
             for text in texts:
                 held.append(shingles(_encode(text), powers, words))
                 room += len(held[-1][0]) + 4000
-                if room > 1_000_000:
+                if room > 400_000:
                     flush()
                     room = 0
             if held:
