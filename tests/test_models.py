@@ -239,3 +239,9 @@ def test_complete_run(spark, tmp_path, monkeypatch):
     report = result.report.toPandas()
     assert report["count"].sum() == built.where("year = 2022").count()
     assert (report["baseline_mae"] >= 0).all()
+
+
+def test_registered_fits_use_the_published_setting():
+    from workload import models
+    used = boosted.tree_params(models.TREES)
+    assert (used["maxIter"], used["maxDepth"], used["stepSize"]) == (200, 6, 0.08)

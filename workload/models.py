@@ -25,7 +25,7 @@ from workload.tables import SIGNAL_SQL, TEST_YEARS, TRAIN_YEARS
 
 KEYS = ["Product", "Region", "Order_Date"]
 FOREST = {"n_estimators": 100, "max_samples": 512, "max_features": 1.0, "contamination": 0.01}
-TREES = {"n_estimators": 8, "learning_rate": 0.3, "num_leaves": 15, "min_child_samples": 20}
+TREES = boosted.BEST_PARAMS
 
 
 def feature_table(spark, sf):
