@@ -1,7 +1,8 @@
 """Secret scanning with a random forest that removes false positives, in DataFrame functions only.
 
 Candidates are runs of sixteen or more key characters with a digit among them, and runs of eight or
-more that are assigned to a name such as `token` or `password`. Each candidate is described by its
+more that are assigned to a name such as `token` or `password`, in the words before or inside the same
+word, as in `password="hunter2abc"`. Each candidate is described by its
 length, its character transitions, the share of it that ordinary words cover, its path and the words
 beside it. A forest trained from labelled findings tells secrets from serial numbers, digests, ids,
 placeholders and long words.
@@ -29,6 +30,8 @@ SECRET_NAMES = "token|secret|passw|pwd|api.?key|apikey|access.?key|private.?key|
 OTHER_NAMES = "sha|md5|checksum|digest|hash|commit|uuid|guid|isbn|issn|serial|version|phone|card|order|invoice|example|sample|dummy|id\\b"
 TEST_PATH = "test|spec|fixture|mock|example|sample|vendor|docs?\\b|readme|lock"
 DICTIONARY_WORDS = 400
+# Between a name and its value inside one word; brackets and quotes may be escaped.
+SIGN = r"""[\\"'\])]*[=:]++>?[\\"'`(\[]*"""
 BESIDE = 2
 THRESHOLD = 0.5
 
@@ -55,8 +58,15 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = "source")
         assigned = F.lower(before).rlike(f"({SECRET_NAMES})\\S*\\s?[=:]\\s?$")
         short_runs = F.when(assigned, F.regexp_extract_all(w, F.lit(f"({SHORT_RUN})"), F.lit(1))).otherwise(F.array())
         found = long_runs(w)
+        runs = F.when(F.size(found) > 0, found).otherwise(short_runs)
+        value = lambda start: F.regexp_extract_all(w, F.lit(f"(?i){start}{SIGN}({SHORT_RUN})"), F.lit(1))
+        named = r"(?:" + SECRET_NAMES + r")[A-Za-z0-9_.-]*"
+        inside = F.when(~w.rlike("[=:]"), F.array()).when(F.lower(before).rlike(f"({SECRET_NAMES})[^\\s=:]*$"), value(f"(?:^|{named})")) \
+            .otherwise(value(named))
+        # A value ends where its run ends; it is in a run already if that is the value, or ends in = and the value.
+        new = F.filter(inside, lambda v: ~F.exists(runs, lambda r: (r == v) | F.endswith(r, F.concat(F.lit("="), v))))
         return F.struct(
-            i.alias("word_no"), F.when(F.size(found) > 0, found).otherwise(short_runs).alias("runs"), w.alias("word"),
+            i.alias("word_no"), F.concat(runs, new).alias("runs"), w.alias("word"),
             before.alias("before"), around(i + 1, BESIDE).alias("after"))
 
     spread = rows.select("row", "path", F.explode(F.filter(F.transform("words", described), lambda s: F.size(s["runs"]) > 0)).alias("at"))

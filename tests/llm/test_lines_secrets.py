@@ -89,3 +89,42 @@ def test_secrets_of_odd_rows(spark, odd, none, forest, dictionary):
     assert [r["candidate"] for r in rows if r["doc_id"] == 21] == ["hunter2hunter"]
     assert secrets.scan(none, forest, dictionary).count() == 0
     assert secrets.frequent_words(none) == []
+
+
+ASSIGNED = {
+    'password="hunter2abc"': ["hunter2abc"], "pwd=hunter2abc": ["hunter2abc"], '{"password":"hunter2abc"}': ["hunter2abc"],
+    'token="abcdefGHIJKLmnopQRST"': ["abcdefGHIJKLmnopQRST"], "DB_PASSWORD='hunter2abc';": ["hunter2abc"], "pwd:hunter2": [],
+    "name=hunter2abc": [], '{\\"api_key\\":\\"hunter2abc\\"}': ["hunter2abc"], "x&token:hunter2abc&pwd=other3abc": ["hunter2abc", "other3abc"],
+    'password ="hunter2abc"': ["hunter2abc"], "password => hunter2abc": [], "secret=>hunter2abc": ["hunter2abc"],
+    '{"id":"0123456789abcdef12345678","pwd":"12345678"}': ["0123456789abcdef12345678", "12345678"],
+    "MY_LONG_SECRET_TOKEN_2024:hunter2abc": ["MY_LONG_SECRET_TOKEN_2024", "hunter2abc"],
+    'token="0123456789abcdef01"': ["0123456789abcdef01"], "token=0123456789abcdef01": ["token=0123456789abcdef01"],
+    "password: hunter2abc": ["hunter2abc"], "password hunter2abc": [],
+}
+
+
+def values_in(text):
+    """Values assigned to a telling name inside one word, found sign by sign without regular expressions."""
+    names = ("token", "secret", "passw", "pwd", "api_key", "auth")
+    found = []
+    for word in text.split():
+        for at, sign in enumerate(word):
+            left, right = word[:at].rstrip("\\\"'"), word[at + 1:].lstrip(">").lstrip("\\\"'")
+            size = next((n for n, c in enumerate(right) if not (c.isascii() and c.isalnum() or c in "+/_=@#$%!.-")), len(right))
+            start = next((n for n in range(len(left), 0, -1) if not (left[n - 1].isalnum() or left[n - 1] in "_.-")), 0)
+            if sign in "=:" and size >= 8 and any(n in left[start:].lower() for n in names):
+                found.append(right[:size])
+    return found
+
+
+def test_secrets_assigned_inside_a_word_are_candidates(spark):
+    texts = list(ASSIGNED)
+    found = secrets.candidates(documents(spark, [(i, f"see the {t} of it", "en", "src/app.py", 1) for i, t in enumerate(texts)]))
+    got = {t: [] for t in texts}
+    for r in found.select("row.doc_id", "candidate").collect():
+        got[texts[r["doc_id"]]].append(r["candidate"])
+    assert {t: sorted(c) for t, c in got.items()} == {t: sorted(c) for t, c in ASSIGNED.items()}
+    for t in texts:
+        for value in values_in(t):
+            assert any(c == value or c.endswith("=" + value) for c in got[t]), (t, value)
+    assert sum(len(values_in(t)) for t in texts) >= 12
