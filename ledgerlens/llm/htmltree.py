@@ -7,7 +7,8 @@ leaves up to the root and back down, which gives the exact marginal of every nod
 trained from labelled pages by gradient ascent on the likelihood, whose expectations are those same
 marginals. Text runs whose marginal reaches one half are the main text.
 
-Pages are parsed leniently: missing end tags are implied, stray ones ignored. Scripts, styles,
+Pages are parsed leniently: missing end tags are implied, stray ones ignored; an open head
+ends at the first element or text that cannot stand in it. Scripts, styles,
 templates, comments and the head hold no text. Character references are decoded, white space inside a
 block becomes one space, blocks are joined by an empty line in page order.
 
@@ -32,6 +33,7 @@ from ledgerlens.llm.common import as_row, field, unpack
 # Element kinds of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = set("script style template head title noscript svg iframe object canvas textarea select".split())
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 BLOCK = set(("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
              "footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td "
              "tfoot th thead tr ul").split())
@@ -99,9 +101,15 @@ class _Page(HTMLParser):
             if tag in until:
                 return None
 
+    def _end_head(self):
+        if self.tag[self.stack[-1]] == "head":
+            self._pop_to(len(self.stack) - 1)
+
     def handle_starttag(self, tag, attrs):
-        if tag == "html":
+        if tag == "html" or tag == "head" == self.tag[self.stack[-1]]:
             return
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.gap = True
@@ -142,6 +150,8 @@ class _Page(HTMLParser):
                 return None
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         if self.silent:
             return
         if self.gap:

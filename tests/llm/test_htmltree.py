@@ -98,3 +98,15 @@ def test_odd_pages(spark, potentials):
     assert by_id[None].count("\n\n") == 19_999
     assert all(t is not None and n == len(t) for _, t, n in got)
     assert ht.extract_text(pages.where("false"), potentials).count() == 0
+
+
+def test_an_open_head_ends_where_it_must(potentials):
+    article = "<article><h1>A title here</h1><p>First of all, some text. And more of it.</p></article>"
+    want = "A title here\n\nFirst of all, some text. And more of it."
+    inside = ("<title>Gone</title><meta name=x><link rel=y><style>Gone{}</style><script>Gone = 1</script>"
+              "<noscript><img src=gone><p>Gone</p></noscript><template><div>Gone</div></template>\n ")
+    for page in (f"<html><head>{inside}{article}</html>", f"<html><head>{inside}</head>{article}</html>",
+                 f"<html><head>{inside}<body>{article}", f"<head><head>{inside}{article}", f"<html><head>{inside}<img src=x>{article}"):
+        assert text(page, potentials) == want, page
+    loose = ht.parse("<html><head><title>Gone</title>Loose text, not in an element.<p>More.</p></html>")
+    assert [t for t in loose.text if t] == ["Loose text, not in an element.", "More."]
