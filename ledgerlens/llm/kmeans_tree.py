@@ -6,7 +6,8 @@ leaf that they reach by going to the nearest child. A query walks the tree best
 queue holds the open nodes, the one with the largest inner product of query and centre comes next, and
 leaves are visited in that order. How many is calibrated: for some queries the exact neighbours are
 found by going through all rows, and visits are widened until the wanted recall is reached on them;
-with all leaves visited the search is exact.
+with all leaves visited the search is exact. A query whose leaves hold too few rows walks on until they
+hold as many as asked for besides its own.
 
 Queries and rows meet leaf by leaf. A leaf with many rows or many queries is cut into blocks, and each
 pair of blocks is one bounded piece of work that keeps the best few per query.
@@ -224,20 +225,26 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     queries = indexed.where(is_query)
     chosen = queries.orderBy(F.xxhash64(F.lit("calibration"), "id"), "id").limit(calibration_queries).collect()
     visits = calibrated_visits(tree, indexed, chosen, d, k, recall)
+    # One count per leaf; the number of leaves is bounded by the sample.
+    in_leaf = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
+    rows_in = spark.sparkContext.broadcast(np.array([in_leaf.get(n, 0) for n in range(tree.leaves)]))
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 found = []
                 for q in _matrix(pa.chunked_array([batch["vector"]]), d):
-                    walk = shared.value.walk(q)
-                    found.append([leaf for _, leaf in zip(range(visits), walk)])
+                    leaves, held = [], 0
+                    for leaf in shared.value.walk(q):
+                        leaves.append(leaf)
+                        held += rows_in.value[leaf]
+                        if len(leaves) >= visits and held > k:
+                            break
+                    found.append(leaves)
                 yield pa.RecordBatch.from_pydict({
                     "query_id": batch["id"], "vector": batch["vector"], "leaves": pa.array(found, pa.list_(pa.int32()))})
 
     walks = materialise(queries.select("id", "vector").mapInArrow(visited, f"query_id long, vector {kind}, leaves array<int>"))
-    # One count per leaf; the number of leaves is bounded by the sample.
-    in_leaf = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
     visitors = {r["leaf"]: r["count"] for r in walks.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
     row_blocks = np.array([max(1, -(-in_leaf.get(n, 0) // BLOCK_ROWS)) for n in range(tree.leaves)])
     query_blocks = np.array([max(1, -(-visitors.get(n, 0) // BLOCK_QUERIES)) for n in range(tree.leaves)])

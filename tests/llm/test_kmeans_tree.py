@@ -100,3 +100,16 @@ def test_odd_rows(spark):
     assert empty.columns == RESULT and empty.count() == 0
     assert kt.search(table, F.col("id") % 20 == 11).count() == 0
     assert kt.search(table.where("vec_id = 0"), F.col("id") % 20 == 0).count() == 0
+
+
+def test_every_query_gets_k_rows_where_leaves_are_small(spark):
+    rng = np.random.default_rng(8)
+    groups = np.repeat(rng.normal(size=(30, 12)), 60, axis=0)
+    x = np.concatenate([groups + rng.normal(size=groups.shape) * 1e-3, rng.normal(size=(12, 12)) * 60])
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    wanted = (F.col("id") % 7 == 0) | (F.col("id") >= len(groups))
+    got = as_dict(kt.search(table, wanted, 20, recall=0.5, leaf_vectors=8))
+    assert set(got) == {i for i in range(len(x)) if i % 7 == 0 or i >= len(groups)}
+    assert {len(found) for found in got.values()} == {20}
+    few = as_dict(kt.search(table.where(F.col("vec_id") >= len(groups)), F.col("id") % 2 == 0, 20, recall=0.1, leaf_vectors=1))
+    assert {len(found) for found in few.values()} == {11} and len(few) == 6
