@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import dartminhash, decontaminate, htmltree, kmeans_tree, language, lines, mixing, quality_net, secrets, sharding
+from ledgerlens.llm import dartminhash, decontaminate, hard_negatives, htmltree, kmeans_tree, language, lines, mixing, quality_net, secrets, sharding
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,32 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return htmltree.extract_text(pages, htmltree.default_potentials()).select("page_id", "url", "text", "n_chars")
+
+
+NEGATIVES_SQL = r"""
+with whole as (
+  select vec_id, case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end as label,
+    [cast(floor(256 * cast(x as double)) as double) for x in embedding] as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), scored as (
+  select a.vec_id as anchor_id, a.label <> r.label as differs, r.vec_id, cast(list_inner_product(a.v, r.v) as bigint) as score
+  from whole a join whole r on a.vec_id <> r.vec_id where a.vec_id % 50 = 0
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where not differs
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, positive_id,
+  cast(row_number() over (partition by p.anchor_id, positive_id order by n.score desc, n.vec_id) as integer) as rank,
+  n.vec_id as negative_id, positive_score, n.score as negative_score
+from positives p join scored n on p.anchor_id = n.anchor_id and n.differs
+  and 50 * positive_score <= 100 * n.score and 100 * n.score <= 95 * positive_score
+qualify rank <= 3
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
