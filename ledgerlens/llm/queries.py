@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import dartminhash, decontaminate, hard_negatives, htmltree, kmeans_tree, language, lines, mixing, quality_net, secrets, sharding
+from ledgerlens.llm import conversations, dartminhash, decontaminate, hard_negatives, htmltree, kmeans_tree, language, lines, mixing, quality_net, secrets, sharding
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +149,90 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltree.extract_text(pages, htmltree.default_potentials()).select("page_id", "url", "text", "n_chars")
 
 
+# The checksum bit by bit, then the cheapest edits row by row. A state holds cost, audit and repaired text
+# in one string; the least string is the cheapest, then the first audit.
+REPAIR_SQL = r"""
+with recursive hashed as (
+  select *, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations
+), bits as (
+  select distinct name, list_reduce(list_prepend(cast(4294967295 as bigint), [cast(ascii(c) as bigint) for c in string_split(name, '')]),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [cast(b as bigint) for b in range(8)]),
+      lambda r, b: case when r % 2 = 1 then xor(r // 2, 3988292384) else r // 2 end)) as r
+  from hashed
+), kinds as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(r, 4294967295) % 20 as kind
+  from hashed join bits using (name)
+), damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case kind when 3 then [1, 2] else [1] end) as copy
+  from kinds where kind <> 0
+), ordered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || ':' || text)) as i
+  from damaged
+), counted as (
+  select *, row_number() over (partition by conv_id, role, text order by i) as nth from ordered
+), marked as (
+  select *, left(role, 1) as initial, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when nth > 1 then 'd'
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 't' else '' end as fault
+  from counted
+), stats as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank,
+    count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated, count(*) as n
+  from marked group by conv_id
+), pairs as (
+  select conv_id, initial || lead(initial) over (partition by conv_id order by i) as pair from marked
+), wrong as (
+  select conv_id, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from pairs group by conv_id
+), conv as (
+  select distinct c.conv_id, coalesce(n, 0) as n from conversations c left join stats s on c.conv_id is not distinct from s.conv_id
+), walk as (
+  -- Columns: the best way to each state, as cost (8 digits), audit, bar, repaired text.
+  select conv_id, n, cast(0 as bigint) as i, '00000000|' as start_, cast(null as varchar) as system_,
+    '00000005I|user:' as user_, '00000010II|user:' || chr(10) || 'assistant:' as assistant_ from conv
+  union all
+  select conv_id, n, i, s0, ss, u2, least(a1, step(u2, 5, 'I', 'assistant:', true)) from (
+    select *, least(u1, step(s0, 5, 'I', 'user:', true), step(ss, 5, 'I', 'user:', true), step(a1, 5, 'I', 'user:', true)) as u2 from (
+      select w.conv_id, w.n, w.i + 1 as i,
+        step(start_, 2, 'D', '', false) as s0,
+        least(step(system_, 2, 'D', '', false), case when ok and initial = 's' then step(start_, extra, 'K', own, true) end) as ss,
+        least(step(user_, 2, 'D', '', false),
+          case when ok and initial = 'u' then least(step(start_, extra, 'K', own, true), step(system_, extra, 'K', own, true), step(assistant_, extra, 'K', own, true)) end,
+          case when ok then least(step(start_, extra + 1, 'R', new_user, true), step(system_, extra + 1, 'R', new_user, true), step(assistant_, extra + 1, 'R', new_user, true)) end) as u1,
+        least(step(assistant_, 2, 'D', '', false), case when ok and initial = 'a' then step(user_, extra, 'K', own, true) end,
+          case when ok then step(user_, extra + 1, 'R', new_assistant, true) end) as a1
+      from walk w join (select conv_id, i, initial, fault not in ('b', 'd') as ok, case fault when 't' then 5 else 0 end as extra,
+          role || ':' || text as own, 'user:' || text as new_user, 'assistant:' || text as new_assistant from marked) m
+        on w.conv_id is not distinct from m.conv_id and m.i = w.i + 1))
+), best as (
+  select conv_id, least(start_, assistant_) as way from walk where i = n
+)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(left(way, 8) as bigint) as cost,
+  substr(way, 9, strpos(way, '|') - 9) as audit, sha256(substr(way, strpos(way, '|') + 1)) as repaired_sha256
+from conv c join best b on c.conv_id is not distinct from b.conv_id
+  left join stats s on c.conv_id is not distinct from s.conv_id left join wrong w on c.conv_id is not distinct from w.conv_id
+"""
+
+
+def _steps_written_out(sql: str) -> str:
+    """Writes each step(way, cost, edit, line, adds a line) out as SQL."""
+    def step(m: re.Match) -> str:
+        way, cost, edit, line, adds = (p.strip() for p in m.groups())
+        text = f"substr({way}, strpos({way}, '|') + 1)"
+        more = f"|| case when {text} = '' then '' else chr(10) end || {line}" if adds == "true" else ""
+        return (f"(lpad(cast(cast(left({way}, 8) as bigint) + {cost} as varchar), 8, '0') || "
+                f"substr({way}, 9, strpos({way}, '|') - 9) || {edit} || '|' || {text} {more})")
+
+    return re.sub(r"step\((\w+), ([\w +]+), ('\w'), ([^,]+), (true|false)\)", step, sql)
+
+
+@query("op12_conversation_repair", _steps_written_out(REPAIR_SQL))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.repair_conversations(rows).withColumnRenamed("conv", "conv_id")
+
+
 NEGATIVES_SQL = r"""
 with whole as (
   select vec_id, case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end as label,
