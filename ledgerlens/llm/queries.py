@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import conversations, dartminhash, decontaminate, hard_negatives, htmltree, kmeans_tree, language, lines, mixing, quality_net, secrets, sharding
+from ledgerlens.llm import conversations, dartminhash, decontaminate, hard_negatives, htmltree, kmeans_tree, language, lines, mixing, packing, quality_net, secrets, sharding
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltree.extract_text(pages, htmltree.default_potentials()).select("page_id", "url", "text", "n_chars")
 
 
+@query("op11_best_fit_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 # The checksum bit by bit, then the cheapest edits row by row. A state holds cost, audit and repaired text
 # in one string; the least string is the cheapest, then the first audit.
 REPAIR_SQL = r"""
