@@ -23,16 +23,15 @@ held in memory whole. An empty table gives no rows.
 from __future__ import annotations
 
 import bisect
-import itertools
-import os
+import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from ledgerlens.llm.common import field
 from ledgerlens.session import materialise
@@ -44,58 +43,60 @@ INJECTED = 0.15        # share of one parent's sequences that a child takes whol
 SPARE = 0.02           # share of a sequence whose emptiness sends its pieces to the next round
 MAX_ROUNDS = 6
 CACHE_WORDS = 800_000  # words whose ids a Python worker keeps, some 160 MB
-BLOCK_CHARS = 1 << 20  # texts tokenised together
+BLOCK_BYTES = 8 << 20  # ids of whole documents that leave a task together
 
 
 # Tokens -------------------------------------------------------------------------------------
 
 
-class Words:
-    """Ids of texts, by way of the ids of their words.
+# Characters of which lower case, composition and kind are plain: ASCII and the letters of Latin-1.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+# On such characters, in lower case, these are the tokenizer's own pieces. Its pattern.
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
+_SPACE = re.compile(r"[\t-\r ]+")
+_SPECIAL = "<|"
 
-    White space of ASCII always ends a token, so a text's ids are those of its words in order; words repeat, and
-    each is tokenised once as long as the cache has room.
+
+class Words(dict):
+    """Little-endian 32-bit ids of words between white space, each tokenised once as long as there is room.
+
+    White space of ASCII always ends a token, so a text's ids are those of its words in order. A word of
+    plain characters is cut into pieces here and goes straight to the tokenizer's merges, which is the
+    smaller part of its work; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4").tobytes()
-        ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))) * 4
-        at = 0
-        for word, end in zip(words, ends.tolist()):
-            self.ids[word] = ids[at:end]
-            at = end
-
-    def encode(self, texts: Sequence[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each UTF-8 text."""
-        split = [text.split() for text in texts]
-        new = set(itertools.chain.from_iterable(split)) - self.ids.keys()
-        if len(self.ids) + len(new) > CACHE_WORDS:
-            self.ids.clear()
-            new = set(itertools.chain.from_iterable(split))
-        if new:
-            self._learn(list(new))
-        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
-
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = str.maketrans({chr(c): as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x100)})
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            spelt = piece if piece.isascii() else piece.translate(self.letters)
+            ids = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and _SPECIAL not in word:
+            ids = b"".join(map(self._piece, _PIECE.findall(word.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
-_WORDS: dict[str, Words] = {}
+    def encode(self, text: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self.pieces.clear()
+        if _PLAIN.fullmatch(text) and _SPECIAL not in text:
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        return b"".join(map(self.__getitem__, filter(None, _SPACE.split(text))))
 
 
-def _blocks(column: pa.Array) -> Iterator[list[bytes]]:
-    block, size = [], 0
-    for text in column.cast(pa.binary()):
-        block.append(text.as_py() or b"")
-        size += len(block[-1])
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+_WORDS: dict[str, Words] = {}
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -110,11 +111,13 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
         closing = np.array([CLOSING_ID], "<u4").tobytes()
         for batch in batches:
             at = 0
-            for block in _blocks(batch["text"]):
-                whole = [ids + closing for ids in words.encode(block)]
-                pieces = [(at + d, n, ids[4 * start:4 * (start + capacity)])
-                          for d, ids in enumerate(whole) for n, start in enumerate(range(0, len(ids) // 4, capacity))]
-                at += len(block)
+            while at < batch.num_rows:
+                pieces, size = [], 0
+                while at < batch.num_rows and size < BLOCK_BYTES:
+                    ids = words.encode(batch["text"][at].as_py() or "") + closing
+                    pieces += [(at, n, ids[4 * start:4 * (start + capacity)])
+                               for n, start in enumerate(range(0, len(ids) // 4, capacity))]
+                    at, size = at + 1, size + len(ids)
                 number = np.array([n for _, n, _ in pieces], np.int32)
                 lengths = np.array([len(ids) // 4 for _, _, ids in pieces], np.int64)
                 flat = np.frombuffer(b"".join(ids for _, _, ids in pieces), "<u4").astype(np.int32)
