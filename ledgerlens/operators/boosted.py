@@ -19,6 +19,8 @@ from ledgerlens.schema import DATE, require_columns
 
 TARGET = "quantity_sum"
 KEY = ("Product", "Region", DATE)
+ROWS_PER_PARTITION = 50_000
+CHECKPOINT_TREES = 20
 
 # Model inputs, and the default search grid.
 CATEGORICAL = ("Product", "Region")
@@ -142,9 +144,23 @@ def tree_params(params: Mapping[str, object]) -> dict[str, object]:
 
 
 def _regressor(target: str, seed: int) -> GBTRegressor:
-    # Rows keep the node they reached, and one pass may collect the statistics of many nodes.
+    # One pass may collect the statistics of many nodes. A row finds its node again in each pass: a few
+    # comparisons are cheaper than a table of node numbers written anew for every level.
     return GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction", seed=seed,
-                        cacheNodeIds=True, maxMemoryInMB=1024)
+                        cacheNodeIds=False, maxMemoryInMB=1024, checkpointInterval=CHECKPOINT_TREES)
+
+
+def _vectors(ready: DataFrame) -> DataFrame:
+    """The training rows in memory, in few partitions: each tree is several short jobs over all of them."""
+    ready = ready.persist()
+    cores = ready.sparkSession.sparkContext.defaultParallelism
+    wanted = min(max(1, math.ceil(ready.count() / ROWS_PER_PARTITION)), 4 * cores)
+    if wanted >= ready.rdd.getNumPartitions():
+        return ready
+    packed = ready.repartition(wanted).persist()
+    packed.count()
+    ready.unpersist()
+    return packed
 
 
 def fit_with_params(
@@ -155,8 +171,7 @@ def fit_with_params(
     """Train once with known parameters."""
     require_columns(df, [target])
     preprocessor = fit_preprocessor(df, numeric, categorical, fill)
-    # Training passes over the vectors several times before it keeps its own copy.
-    ready = preprocessor.transform(df).select("features", F.col(target).cast("double").alias(target)).persist()
+    ready = _vectors(preprocessor.transform(df).select("features", F.col(target).cast("double").alias(target)))
     model = _regressor(target, seed).setParams(**tree_params(params)).fit(ready)
     ready.unpersist()
     return PipelineModel([*preprocessor.stages, model])
@@ -175,8 +190,8 @@ def fit_with_search(
     require_columns(df, [target, *key_cols])
     preprocessor = fit_preprocessor(df, numeric, categorical)
     fold = F.pmod(F.xxhash64(F.lit(seed), *key_cols), F.lit(folds)).cast("int")
-    ready = preprocessor.transform(df).select(
-        "features", F.col(target).cast("double").alias(target), fold.alias("_fold")).persist()
+    ready = _vectors(preprocessor.transform(df).select(
+        "features", F.col(target).cast("double").alias(target), fold.alias("_fold")))
     names = list(grid)
     combinations = [dict(zip(names, values)) for values in itertools.product(*grid.values())]
     regressor = _regressor(target, seed)

@@ -7,9 +7,12 @@ broadcast; the sales behind them are never gathered per period.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.functions.calendar import PERIODS, add_year_month, period_label
 from ledgerlens.functions.coerce import safe_numeric
@@ -65,6 +68,17 @@ def period_distribution(
     )
 
 
+def _kernel_sums(grid: np.ndarray, values: np.ndarray, copies: np.ndarray, width: float | None) -> np.ndarray:
+    """Sum of the Gaussian kernels of all values at each grid point; without a width, of the values that lie on it."""
+    if not width or width != width:
+        return ((grid[:, None] == values[None, :]) * copies).sum(axis=1).astype(float)
+    out = np.zeros(len(grid))
+    for start in range(0, len(values), 4096):
+        distance = (grid[:, None] - values[None, start:start + 4096]) / width
+        out += np.exp(-0.5 * distance * distance) @ copies[start:start + 4096]
+    return out
+
+
 def period_density(
     df: DataFrame, value_col: str, period: str = "year", filters: Mapping[str, object] | None = None,
     start=None, end=None, date_col: str = DATE, points: int = GRID_POINTS, log_scale: bool = False,
@@ -83,25 +97,35 @@ def period_density(
         F.stddev_samp("value").alias("_std"),
     ).join(F.broadcast(medians), label)
     step = (F.col("_high") - F.col("_low")) / (points - 1)
-    shapes = shapes.select(
+    shapes = materialise(shapes.select(
         label, "median", "_n", "_low", step.alias("_step"),
-        (F.col("_std") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_width"))
-    # Equal values are counted first, so a kernel is evaluated once per distinct value; the grid is one
-    # sum per point, and only the finished periods are turned into rows.
-    counted = rows.groupBy(label, "value").agg(F.count(F.lit(1)).alias("_copies")).join(F.broadcast(shapes), label)
-
-    def kernel(grid: Column) -> Column:
-        distance = (grid - F.col("value")) / F.col("_width")
-        return F.when(F.col("_width") > 0, F.exp(-0.5 * distance * distance)).when(grid == F.col("value"), 1.0).otherwise(0.0)
-
-    grid = [F.col("_low") + F.col("_step") * i for i in range(points)]
-    masses = counted.groupBy(label, "median", "_n", "_low", "_step", "_width").agg(
-        *[F.sum(kernel(g) * F.col("_copies")).alias(f"_mass_{i}") for i, g in enumerate(grid)])
-    entries = [F.struct(F.lit(i).alias("point"), g.alias("grid_value"), F.col(f"_mass_{i}").alias("_mass")) for i, g in enumerate(grid)]
+        (F.col("_std") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_width")))
+    # Every batch gives one partial sum per grid point of each period it holds; a kernel is evaluated once
+    # per distinct value of the batch, and the sums meet in a plain aggregation.
+    spark = df.sparkSession
+    frames = spark.sparkContext.broadcast({  # one row per calendar period
+        r[label]: (r["_low"], r["_step"], r["_width"]) for r in shapes.select(label, "_low", "_step", "_width").collect()})
+    kind = rows.schema[label].dataType.simpleString()
+
+    def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masses: dict[object, np.ndarray] = {}
+        for batch in batches:
+            pairs = pa.Table.from_batches([batch]).group_by([label, "value"]).aggregate([([], "count_all")])
+            for period in pairs[label].unique().to_pylist():
+                low, step, width = frames.value[period]
+                own = pairs.filter(pc.equal(pairs[label], period))
+                grid = low + step * np.arange(points)
+                masses[period] = masses.get(period, 0) + _kernel_sums(
+                    grid, own["value"].to_numpy(), own["count_all"].to_numpy(), width)
+        for period, mass in masses.items():
+            yield pa.RecordBatch.from_pydict({label: [period] * points, "point": pa.array(range(points), pa.int32()), "_mass": mass})
+
+    sums = rows.select(label, "value").mapInArrow(partial_sums, f"`{label}` {kind}, point int, _mass double")
     norm = F.when(F.col("_width") > 0, F.col("_n") * F.col("_width") * math.sqrt(2 * math.pi)).otherwise(F.col("_n"))
     out = (
-        masses.select(label, "median", "_n", "_width", F.explode(F.array(*entries)).alias("_e"))
-        .select(label, "_e.point", "_e.grid_value", (F.col("_e._mass") / norm).alias("density"), "median")
+        sums.groupBy(label, "point").agg(F.sum("_mass").alias("_mass")).join(F.broadcast(shapes), label)
+        .select(label, "point", (F.col("_low") + F.col("_step") * F.col("point")).alias("grid_value"),
+                (F.col("_mass") / norm).alias("density"), "median")
     )
     if log_scale:
         out = out.withColumn("log_value", F.when(F.col("grid_value") > 0, F.log10("grid_value")))

@@ -53,6 +53,19 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def durable_folder(spark: SparkSession) -> str:
+    """Where fitted models outlive a session: the configured shared folder.
+
+    Only a local master may fall back to a folder of its own, the same in every session.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return os.path.join(tempfile.gettempdir(), f"ledgerlens-durable-{os.getuid()}")
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -245,3 +245,30 @@ def test_registered_fits_use_the_published_setting():
     from workload import models
     used = boosted.tree_params(models.TREES)
     assert (used["maxIter"], used["maxDepth"], used["stepSize"]) == (200, 6, 0.08)
+
+
+def test_a_stored_fit_is_read_and_not_made_again(spark, tmp_path, monkeypatch):
+    """A later session reads what was published; other parameters or an attempt cut short are made anew."""
+    from workload import registry
+
+    monkeypatch.setattr(registry, "durable_folder", lambda _: str(tmp_path))
+    made = []
+
+    def fitted(parameters):
+        def make():
+            made.append(parameters)
+            return spark.range(3).withColumn("p", F.lit(repr(parameters)))
+
+        registry._MADE.clear()  # what a new session starts with
+        return registry.stored_table(spark, "/root/testdata/sf0.001", "trial", parameters, make)
+
+    try:
+        first = sorted(fitted({"a": 1}).collect())
+        assert sorted(fitted({"a": 1}).collect()) == first and made == [{"a": 1}]
+        assert fitted({"a": 2}).first()["p"] == "{'a': 2}" and made == [{"a": 1}, {"a": 2}]
+        # An attempt without a published path is no fit.
+        for marker in tmp_path.glob("fits/*/published"):
+            marker.rename(marker.with_name("lost"))
+        assert sorted(fitted({"a": 1}).collect()) == first and made[2:] == [{"a": 1}]
+    finally:
+        registry._MADE.clear()

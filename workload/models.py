@@ -9,6 +9,7 @@ lists every expected key with `true`.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Window, functions as F
@@ -19,7 +20,7 @@ from ledgerlens.operators.filters import by_year
 from ledgerlens.operators.quantiles import column_quantiles, robust_center_scale
 from ledgerlens.operators.anomalies import anomaly_rows
 from workload import views
-from workload.registry import once, path_for, query, tidy, written
+from workload.registry import once, path_for, query, stored, stored_table, tidy
 from workload.sql import INPUTS, r6, using
 from workload.tables import SIGNAL_SQL, TEST_YEARS, TRAIN_YEARS
 
@@ -29,25 +30,38 @@ TREES = boosted.BEST_PARAMS
 
 
 def feature_table(spark, sf):
-    return written(spark, sf, "features", lambda: views.features(spark, sf))
+    return stored_table(spark, sf, "features", None, lambda: views.features(spark, sf))
 
 
 def fitted_forest(spark, sf):
-    return once(spark, sf, "forest", lambda: forest.fit_forest(by_year(feature_table(spark, sf), TRAIN_YEARS), **FOREST))
+    return stored(
+        spark, sf, "forest", FOREST, lambda: forest.fit_forest(by_year(feature_table(spark, sf), TRAIN_YEARS), **FOREST),
+        lambda model, path: model.save(spark, path), lambda path: forest.ForestModel.load(spark, path))
 
 
 def scored_table(spark, sf):
-    return written(spark, sf, "scored", lambda: fitted_forest(spark, sf).transform(feature_table(spark, sf)))
+    return stored_table(spark, sf, "scored", FOREST, lambda: fitted_forest(spark, sf).transform(feature_table(spark, sf)))
+
+
+def boosted_models(spark, sf):
+    """Baseline and hybrid model. Training is many short jobs, so the two are fitted side by side."""
+    def fit(name, numeric):
+        return stored(
+            spark, sf, name, (TREES, numeric),
+            lambda: boosted.fit_with_params(by_year(scored_table(spark, sf), TRAIN_YEARS), TREES, numeric=numeric),
+            lambda model, path: model.write().save(path), PipelineModel.load)
+
+    scored_table(spark, sf)
+    with ThreadPoolExecutor(2) as pool:
+        return tuple(pool.map(fit, ("baseline", "hybrid"), (boosted.NUMERIC, boosted.HYBRID_NUMERIC)))
 
 
 def baseline(spark, sf):
-    return once(spark, sf, "baseline", lambda: boosted.fit_with_params(
-        by_year(scored_table(spark, sf), TRAIN_YEARS), TREES))
+    return once(spark, sf, "boosted", lambda: boosted_models(spark, sf))[0]
 
 
 def hybrid(spark, sf):
-    return once(spark, sf, "hybrid", lambda: boosted.fit_with_params(
-        by_year(scored_table(spark, sf), TRAIN_YEARS), TREES, numeric=boosted.HYBRID_NUMERIC))
+    return once(spark, sf, "boosted", lambda: boosted_models(spark, sf))[1]
 
 
 def test_rows(spark, sf):

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import pathlib
+import uuid
 from collections.abc import Callable
+from functools import cache
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ledgerlens.session import fresh_path, materialise
+from ledgerlens.session import durable_folder, fresh_path, materialise
 from workload.sql import SHIFT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +46,54 @@ def once(spark: SparkSession, sf: str, label: str, make):
     return _MADE[key]
 
 
+SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@cache
+def code_version() -> str:
+    """Changes with any source file that fits or tables come from."""
+    root = pathlib.Path(__file__).resolve().parent.parent
+    files = sorted([*root.glob("workload/*.py"), *root.glob("ledgerlens/*.py"), *root.glob("ledgerlens/[!l]*/*.py")])
+    return hashlib.sha256(b"".join(f.name.encode() + f.read_bytes() for f in files)).hexdigest()
+
+
+def input_version(spark: SparkSession, sf: str) -> str:
+    """Changes with any file of the source tables: path, size or time. One row leaves the cluster per table."""
+    marks = []
+    for name in SOURCE_TABLES:
+        files = spark.read.parquet(f"{sf}/{name}.parquet").select("_metadata").select(
+            "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        marks.append(tuple(files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*files.columns))).first()))
+    return repr(marks)
+
+
+def stored(spark: SparkSession, sf: str, label: str, parameters: object, make, save, load):
+    """A fit that outlives its session: made once for the same inputs, parameters and code.
+
+    Each attempt is saved in a folder of its own, and its path is published last, so an attempt that was
+    cut short is never read. Of several published attempts the first by path counts.
+    """
+    def find():
+        inputs = once(spark, sf, "input version", lambda: input_version(spark, sf))
+        key = hashlib.sha256(repr((inputs, parameters, code_version())).encode()).hexdigest()
+        folder = f"{durable_folder(spark).rstrip('/')}/fits/{label}-{key}"
+        try:
+            return load(spark.read.schema("path string").parquet(f"{folder}/published").orderBy("path").first()["path"])
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        path = f"{folder}/{uuid.uuid4().hex}"
+        save(make(), path)
+        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("append").parquet(f"{folder}/published")
+        return load(path)
+
+    return once(spark, sf, label, find)
+
+
+def stored_table(spark: SparkSession, sf: str, label: str, parameters: object, make) -> DataFrame:
+    return stored(spark, sf, label, parameters, make, lambda df, path: df.write.parquet(path), spark.read.parquet)
+
+
 def written(spark: SparkSession, sf: str, label: str, make) -> DataFrame:
     return once(spark, sf, label, lambda: materialise(make()))
 

@@ -290,10 +290,13 @@ def join_features_to_sales(spark, sf):
     return tidy(joined.select("Order_ID", "line_no", "part_no", "supp_no", "Category", *KEYS, *JOINED_WHOLE, *JOINED))
 
 
-@query("join_features_anomalies", using("scores", f"""select {', '.join('f.' + k for k in KEYS)},
- {r6('f.quantity_sum', 'quantity_sum')}, s.anomaly_flag, s.anomaly_label, {r6('s.anomaly_score', 'anomaly_score')}
- from features f left join (select * from scores where anomaly_flag = 1) s
- on f.Product = s.Product and f.Region = s.Region and f.Order_Date = s.Order_Date"""))
+FLAGGED = lambda column: f"case when anomaly_flag = 1 then {column} end as {column}"
+
+
+# A group has one feature row and one score row per day, so the join's rows are those of one pass over the scores.
+@query("join_features_anomalies", using("scores", f"""select {', '.join(KEYS)}, {r6('quantity_sum')},
+ {FLAGGED('anomaly_flag')}, {FLAGGED('anomaly_label')},
+ {r6('case when anomaly_flag = 1 then anomaly_score end', 'anomaly_score')} from scores"""))
 def join_features_anomalies(spark, sf):
     flagged = anomalies.anomaly_rows(views.scores(spark, sf))
     joined = joins.join_scores(views.features(spark, sf), flagged)
