@@ -43,7 +43,7 @@ with split as (
   select source, count(*) as pages from documents where source is not null group by source
 ), boilerplate as (
   select source, list(line) as gone from counts join totals using (source)
-  where n >= 10 and n > 0.05::double * pages group by source
+  where n > 0.05::double * (pages + 40) group by source
 ), cut as (
   select doc_id, text, lines,
     case when gone is null then lines else [l for l in lines if not list_contains(gone, l)] end as kept

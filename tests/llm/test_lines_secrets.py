@@ -26,6 +26,25 @@ def test_lines_match_the_sql_where_lines_repeat(spark):
     assert by_id.loc[1, "text"] == "own 1\n\n  " and by_id.loc[102, "text"] == "" and by_id.loc[59, "n_dropped"] == 0
 
 
+def test_small_hosts_lose_their_menu(spark):
+    """By hand: three pages of nine are boilerplate, two are not; one copied page of a host of two stays."""
+    rows = [(i, f"Menu\nown {i}" + ("\nthrice" if i < 3 else "") + ("\ntwice" if i < 2 else ""), None, "nine", 1) for i in range(9)]
+    rows += [(20 + i, "Menu\nsame page", None, "two", 1) for i in range(2)]
+    rows += [(30 + i, f"Menu\npage {i % 2}", None, "four", 1) for i in range(4)]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(documents(spark, rows)).collect()}
+    assert got[0] == "own 0\ntwice" and got[2] == "own 2" and got[8] == "own 8"
+    assert got[20] == got[21] == "Menu\nsame page" and got[30] == got[32] == "page 0"
+
+
+def test_a_long_page_of_many_lines(spark):
+    """A page of 200,000 lines next to pages that share some of them."""
+    long = "\n".join(f"line {i}" for i in range(200_000))
+    shared = "\n".join(f"line {i}" for i in range(300))
+    rows = [(0, long, None, "a", 1)] + [(i, f"{shared}\nown {i}", None, "a", 1) for i in range(1, 30)]
+    got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in lines.drop_boilerplate(documents(spark, rows)).collect()}
+    assert got[0][0] == got[1][0] == 300 and got[7][1] == "own 7" and got[0][1].startswith("line 300\nline 301\n")
+
+
 def test_lines_of_odd_rows(odd, none):
     cut = lines.drop_boilerplate(odd)
     assert same_columns(odd, cut, ["text", "n_lines", "n_dropped"])
