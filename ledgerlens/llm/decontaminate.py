@@ -41,8 +41,8 @@ def normalise(text: str) -> str:
 
 
 def budget(length: int, rate: float) -> int:
-    """Edits allowed for an item of so many characters, given that pieces keep at least eight."""
-    return max(0, min(int(rate * length), length // PIECE - 1))
+    """Edits allowed for an item of so many characters; short items have short pieces, which are indexed as they are."""
+    return min(int(rate * length), max(0, length - 1))
 
 
 def runs_around(piece: int, n: int) -> list[tuple[int, int]]:

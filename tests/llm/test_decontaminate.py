@@ -66,6 +66,23 @@ def test_matches_equal_a_search_of_every_item_in_every_text():
                 assert nearest_by_table(item.text, clean[start:end])[0] == d
 
 
+def test_short_items_are_found_with_a_tenth_of_edits(spark):
+    """Items of 10 to 47 characters, with every number of edits, against the whole distance table."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items = [(n * 10 + i, "".join(rng.choice(letters) for _ in range(n))) for n in (1, 9, 10, 15, 20, 23, 30, 31, 39, 40, 47) for i in range(4)]
+    texts = []
+    for _, item in items:
+        for edits in range(len(item) // 10 + 2):
+            texts += [f"{''.join(rng.choice(letters) for _ in range(30))}{edited(item, edits, rng)}{''.join(rng.choice(letters) for _ in range(30))}"
+                      for _ in range(4)]
+    matcher = dc.Matcher(items, 0.1)
+    assert [i.budget for i in matcher.items] == [len(t) // 10 for _, t in items]
+    for text, hits in zip(texts, matcher.search(texts)):
+        want = {i for i, item in items if nearest_by_table(item, text)[0] <= len(item) // 10}
+        assert {h[0] for h in hits} == want
+
+
 def test_every_item_planted_in_the_documents_is_found(spark, docs):
     items = {r["item_id"]: dc.normalise(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {(r["doc_id"], r["item_id"]): r for r in dc.leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
