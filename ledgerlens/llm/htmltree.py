@@ -7,8 +7,9 @@ leaves up to the root and back down, which gives the exact marginal of every nod
 trained from labelled pages by gradient ascent on the likelihood, whose expectations are those same
 marginals. Text runs whose marginal reaches one half are the main text.
 
-Pages are parsed leniently: missing end tags are implied, stray ones ignored; an open head
-ends at the first element or text that cannot stand in it. Scripts, styles,
+Pages are parsed leniently, in time that grows with their length: missing end tags are implied, stray
+ones ignored; an open head ends at the first element or text that cannot stand in it; elements nested
+deeper than 512 become siblings. Scripts, styles,
 templates, comments and the head hold no text. Character references are decoded, white space inside a
 block becomes one space, blocks are joined by an empty line in page order.
 
@@ -66,6 +67,7 @@ NAMES = ([f"tag {t}" for t in TAGS] + ["tag other"] + [f"hint {g}" for g in HINT
 _NUMBER = {n: i for i, n in enumerate(NAMES)}
 _TAG = {t: _NUMBER[f"tag {t}"] for t in TAGS}
 KINDS = ("text", "inline", "block")
+MAX_DEPTH = 512  # elements nested deeper stand beside each other at this depth, as in browsers; no text is lost
 MARK = "\ue000"  # private character that marks content in labelled pages
 
 
@@ -76,30 +78,41 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.hints, self.text, self.block = ["html"], [-1], [()], [""], [0]
         self.stack, self.silent, self.blocks, self.gap = [0], 0, 0, False
+        self.open: dict[str, list[int]] = {}  # depths of the open elements of each tag, innermost last
+        self.open_blocks: list[int] = []
 
     def _add(self, tag, hints=(), text=""):
         self.tag.append(tag)
-        self.parent.append(self.stack[-1])
+        self.parent.append(self.stack[min(len(self.stack), MAX_DEPTH) - 1])
         self.hints.append(hints)
         self.text.append(text)
         self.block.append(self.blocks)
         return len(self.tag) - 1
 
+    def _push(self, tag: str, node: int):
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.open_blocks.append(len(self.stack))
+        self.stack.append(node)
+
     def _pop_to(self, depth: int):
-        for node in self.stack[depth:]:
-            if self.tag[node] in BLOCK:
+        while len(self.stack) > depth:
+            tag = self.tag[self.stack.pop()]
+            self.open[tag].pop()
+            if tag in BLOCK:
+                self.open_blocks.pop()
                 self.blocks += 1
-            if self.tag[node] in SILENT:
+            if tag in SILENT:
                 self.silent -= 1
-        del self.stack[depth:]
+
+    def _innermost(self, kinds) -> int:
+        """Depth of the innermost open element of these kinds, 0 if none is open."""
+        return max((self.open[k][-1] for k in kinds if self.open.get(k)), default=0)
 
     def _close(self, kinds, until):
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tag[self.stack[depth]]
-            if tag in kinds:
-                return self._pop_to(depth)
-            if tag in until:
-                return None
+        depth = self._innermost(kinds)
+        if depth > self._innermost(until):
+            self._pop_to(depth)
 
     def _end_head(self):
         if self.tag[self.stack[-1]] == "head":
@@ -133,7 +146,7 @@ class _Page(HTMLParser):
         hints = tuple(sorted({_HINT_OF[w] for w in words if w in _HINT_OF}))
         if tag in SILENT:
             self.silent += 1
-        self.stack.append(self._add(tag, hints))
+        self._push(tag, self._add(tag, hints))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -141,13 +154,10 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        depth = self._innermost((tag,))
         inline = tag not in BLOCK and tag not in SILENT
-        for depth in range(len(self.stack) - 1, 0, -1):
-            open_tag = self.tag[self.stack[depth]]
-            if open_tag == tag:
-                return self._pop_to(depth)
-            if inline and open_tag in BLOCK:
-                return None
+        if depth and not (inline and self.open_blocks and self.open_blocks[-1] > depth):
+            self._pop_to(depth)
 
     def handle_data(self, data):
         if data.strip():
