@@ -83,7 +83,7 @@ class _Page(HTMLParser):
 
     def _add(self, tag, hints=(), text=""):
         self.tag.append(tag)
-        self.parent.append(self.stack[min(len(self.stack), MAX_DEPTH) - 1])
+        self.parent.append(self.stack[-1 if tag == "#text" else min(len(self.stack), MAX_DEPTH) - 1])
         self.hints.append(hints)
         self.text.append(text)
         self.block.append(self.blocks)
@@ -437,7 +437,8 @@ def labelled_pages(n: int = 300, seed: int = 23) -> list[str]:
                 return "<table>" + "".join(f"<tr><td>{MARK}{words(1, 4)}</td><td>{MARK}{words(1, 4)}</td></tr>" for _ in range(rng.randint(2, 4))) + "</table>"
             return f"<p>{MARK}{words(1, 4)}</p>" if kind < .98 else f"<div>{run(2, 6)}</div>"
 
-        parts = [paragraph() for _ in range(rng.choice([1, 2, 3, 5, 8, 12]))]
+        bare = rng.random() < .15  # no tag says what is a paragraph
+        parts = [f"<div>{run(1, 6)}</div>" if bare and rng.random() < .8 else paragraph() for _ in range(rng.choice([1, 2, 3, 5, 8, 12]))]
         for extra, chance in ((advert, .25), (share, .15), (side, .1), (form, .1), (notice, .05)):
             if rng.random() < chance:
                 parts.insert(rng.randint(0, len(parts)), extra())
@@ -447,15 +448,15 @@ def labelled_pages(n: int = 300, seed: int = 23) -> list[str]:
         inner = title + "".join(parts)
         name = rng.choice(["content", "post", "entry-content", "article-body", "story", "post-content", "main-content"])
         kind = rng.random()
-        if kind < .4:
+        if kind < .34:
             return f"<article>{inner}</article>"
-        if kind < .5:
+        if kind < .42:
             return f"<main>{inner}</main>"
-        if kind < .6:
+        if kind < .5:
             return f"<main><article>{inner}</article></main>"
-        if kind < .85:
+        if kind < .7:
             return f'<div {rng.choice(["class", "id"])}="{name}">{inner}</div>'
-        return f"<section>{inner}</section>" if kind < .92 else f"<div>{inner}</div>"
+        return f"<section>{inner}</section>" if kind < .76 else f"<div>{inner}</div>" if kind < .9 else inner
 
     def page():
         before = [b() for b, chance in ((header, .5), (menu, .8), (notice, .3), (advert, .4), (form, .2), (side, .15)) if rng.random() < chance]

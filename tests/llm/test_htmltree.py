@@ -1,3 +1,4 @@
+import time
 import itertools
 import re
 from html import unescape
@@ -110,3 +111,32 @@ def test_an_open_head_ends_where_it_must(potentials):
         assert text(page, potentials) == want, page
     loose = ht.parse("<html><head><title>Gone</title>Loose text, not in an element.<p>More.</p></html>")
     assert [t for t in loose.text if t] == ["Loose text, not in an element.", "More."]
+
+
+def test_unmarked_layouts():
+    """Five pages on which no tag, class or id says where the article is."""
+    line = "The harbour was quiet when the first boats came back that morning. Nobody had expected them before noon. "
+    story = [line * n for n in (1, 2, 3, 1)]
+    menu = '<div><a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sport</a> <a href="/c">Contact</a></div>'
+    foot = "<div>© 2024 Harbour News</div>"
+    each = lambda before, after: "".join(before + x + after for x in story)
+    pages = [
+        menu + each("<div>", "</div>") + foot,
+        f"<div>{menu}<div><div>{each('<p>', '</p>')}</div></div>{foot}</div>",
+        f"<table><tr><td>{menu}</td></tr><tr><td>{'<br><br>'.join(story)}</td></tr><tr><td>{foot}</td></tr></table>",
+        menu + each("<p>", "</p>") + foot,
+        f"<div class='x1'><span>Harbour News</span>{menu}</div><div class='x2'>{each('<div><span>', '</span></div>')}</div>"
+        "<div class='x3'><a href='/a'>About us</a> <a href='/p'>Privacy</a> © 2024</div>"]
+    found = ht.extract([f"<html><body>{p}</body></html>" for p in pages], ht.default_potentials())
+    assert [" ".join(t.split()) for t in found] == [" ".join("".join(story).split())] * 5
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    text = "Deep text that is a full sentence of the story and long enough to be kept."
+    start = time.perf_counter()
+    page = ht.parse("<body><article><p>Above.</p>" + "<div>" * 100_000 + f"<p>{text}</p>")
+    assert time.perf_counter() - start < 20 and page.text[-1] == text
+    # A button hides an open paragraph from the blocks in it.
+    page = ht.parse("<p>a<button>" + "<div>" * 20_000 + "b</button><li>c<li>d")
+    assert [t for t in page.text if t] == ["a", "b", "c", "d"]
+    assert [page.tag[page.parent[i]] for i, t in enumerate(page.text) if t] == ["p", "div", "li", "li"]
