@@ -1,7 +1,8 @@
 """Near-duplicate documents by DartMinHash signatures and banded joining.
 
-A text is the multiset of its five-word shingles (runs without ASCII white space are words; a text
-of one to four words is one shingle), each weighing as often as it occurs. Two texts are linked when
+A text is the multiset of its five-word shingles (runs without ASCII white space are words, and in
+scripts that write no spaces every character is one; a text of one to four words is one shingle), each
+weighing as often as it occurs. Two texts are linked when
 their weighted Jaccard similarity, sum of the smaller over sum of the larger weights, is 0.8 or more.
 Classes are the connected components of the links; equal texts are one vertex.
 
@@ -43,7 +44,7 @@ from ledgerlens.session import materialise
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
-BLOCK = 256
+BLOCK, PARTS = 256, 8
 _COLUMNS = 4096
 _SLICE = 1 << 20
 _U = np.uint64
@@ -76,6 +77,25 @@ class _Powers:
         self.down = np.cumprod(np.concatenate([[_U(1)], np.full(n, _BASE_INVERSE)]).astype(np.uint64), dtype=np.uint64)
 
 
+def _split_unspaced(b: np.ndarray, gap: np.ndarray, first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words cut around characters of scripts without spaces, each of which is a word of its own.
+
+    By their bytes: kana and Han (lead E3 to E9), Thai and Lao (E0 B8 to E0 BB), Burmese (E1 80 to E1 82), Khmer (E1 9E, E1 9F).
+    """
+    second = np.concatenate([b[1:], [0]])
+    alone = (b >= 0xE3) & (b <= 0xE9) | (b == 0xE0) & (second >= 0xB8) & (second <= 0xBB) \
+        | (b == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second == 0x9E) | (second == 0x9F))
+    if not alone.any():
+        return first, past
+    starts = np.zeros(len(b) + 3, bool)
+    starts[first] = True
+    starts[np.flatnonzero(alone)] = True
+    starts[np.flatnonzero(alone) + 3] = True  # what follows such a character
+    starts = np.flatnonzero(starts[:len(b)] & ~gap)
+    ends = np.unique(np.concatenate([starts, past]))
+    return starts, ends[np.searchsorted(ends, starts, "right")]
+
+
 def word_hashes(data: bytes, powers: _Powers) -> np.ndarray:
     """A 64-bit hash of each word, in order. Long texts are cut at white space."""
     out, at = [], 0
@@ -83,11 +103,17 @@ def word_hashes(data: bytes, powers: _Powers) -> np.ndarray:
         end = min(at + _SLICE, len(data))
         if end < len(data):
             cut = max(data.rfind(c, at, end) for c in (b" ", b"\n", b"\t"))
-            end = cut + 1 if cut >= at else end  # a word of over a million bytes is cut as well
+            if cut >= at:
+                end = cut + 1
+            else:  # a word of over a million bytes is cut as well, between characters
+                while data[end] & 0xC0 == 0x80:
+                    end -= 1
         b = np.frombuffer(data, np.uint8, end - at, at)
         gap = (b == 32) | ((b >= 9) & (b <= 13))
         edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
         first, past = edge[::2], edge[1::2]
+        if len(b) and b.max() >= 0xE0:
+            first, past = _split_unspaced(b, gap, first, past)
         sums = np.concatenate([[_U(0)], np.cumsum((b.astype(np.uint64) + _U(1)) * powers.up[:len(b)], dtype=np.uint64)])
         out.append(mix((sums[past] - sums[first]) * powers.down[first] + (past - first).astype(np.uint64) * _GOLD))
         at = end
@@ -335,8 +361,13 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, similarity: float) ->
     """
     blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # A large bucket is dealt by parts for its number of blocks, and by block before its rows are multiplied.
+    part = F.pmod(F.xxhash64(F.lit("part"), "node"), F.lit(PARTS)).cast("int")
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     cells = (
-        members.join(blocks, "key").select("key", "node", "label", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        members.withColumn("part", part).join(blocks, ["key", "part"])
+        .select("key", "node", "label", "blocks", own.alias("block")).repartition("key", "block")
+        .select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("key", "node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         .join(sets, "node"))
 

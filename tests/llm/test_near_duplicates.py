@@ -1,3 +1,5 @@
+from collections import Counter
+
 import random
 from collections import Counter
 
@@ -131,3 +133,31 @@ def test_classes_of_odd_rows(odd, none):
     ids = sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect())
     assert ids == sorted(["-11", "1", "3", "4", "5", "6", "7", "8", "9", "10", "None"])
     assert dm.near_duplicates(none).count() == dm.keep_one(none).count() == 0
+
+
+def test_scripts_without_spaces(spark):
+    """Two Chinese texts of 3,000 characters that differ in one are alike, against all pairs of character shingles."""
+    rng = np.random.default_rng(12)
+    han = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, 3000))
+    other = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, 3000))
+    thai = "".join(chr(0x0E01 + int(c)) for c in rng.integers(0, 40, 900))
+    texts = [han, han[:1500] + "\u3042" + han[1501:], han[1:], other, thai, thai[:450] + thai[451:], "x" + han, han[:1000] + " " + han[1000:]]
+
+    def weights(text):
+        chars = [c for c in text if c != " "]
+        return Counter(tuple(chars[i:i + 5]) for i in range(len(chars) - 4))
+
+    held = [weights(t) for t in texts]
+    alike = [[sum((a & b).values()) >= 0.8 * sum((a | b).values()) for b in held] for a in held]
+    want = [min(j for j, x in enumerate(row) if x) for row in alike]
+    docs = documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["class_id"] for r in dm.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want == [0, 0, 0, 3, 4, 4, 0, 0]
+
+
+def test_words_of_mixed_scripts():
+    powers = dm._Powers(1 << 10)
+    count = lambda t: len(dm.word_hashes(t.encode(), powers))
+    assert count("abc 漢字かな x") == 6 and count("ab漢c d") == 4 and count("漢") == 1 and count("é “quoted” 🙂") == 3
+    same = lambda a, b: (dm.word_hashes(a.encode(), powers) == dm.word_hashes(b.encode(), powers)).all()
+    assert same("ab漢c d", "ab 漢 c d") and same("漢字\n", " 漢 字") and same("ไทย x", "ไ ท ย x")
