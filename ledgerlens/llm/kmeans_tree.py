@@ -13,8 +13,10 @@ Queries and rows meet leaf by leaf. A leaf with many rows or many queries is cut
 pair of blocks is one bounded piece of work that keeps the best few per query.
 
 Null, zero and non-finite vectors, vectors of another length than most, and rows without an id take no
-part. Rows with one id are one row, the smallest of their vectors. Scores are inner products in double
-precision; ties go to the smaller id. With fewer candidates than asked for, all are returned. An empty
+part. Rows that repeat an id, or a whole row, are rows of their own: each is a candidate for the others,
+and each is a query if its id is one, so such a query id has several lists. Inside, a row is known by a
+number that follows id and vector. Scores are inner products in double precision; ties go to the smaller
+id, then to the smaller vector. With fewer candidates than asked for, all are returned. An empty
 table gives no rows.
 """
 
@@ -147,7 +149,7 @@ def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
 
 
 def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(id, vector) of the rows that take part, one per id, and the length of the vectors."""
+    """(row, id, vector) of the rows that take part, and the length of the vectors; `row` follows id and vector."""
     v = F.col("vector")
     kind = table.schema[vector_col].dataType.elementType.simpleString()
     limit = F.lit(float("inf")).cast(kind)
@@ -155,7 +157,11 @@ def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[Data
     sound = rows.where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)) & F.exists(v, lambda x: x != 0))
     common = sound.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").first()
     d = common["d"] if common else 0
-    return materialise(sound.where(F.size(v) == d).groupBy("id").agg(F.min("vector").alias("vector"))), d
+    # The arrival number spreads any number of equal rows; their order changes no result.
+    order = ["id", "vector", "arrival"]
+    placed = sound.where(F.size(v) == d).withColumn("arrival", F.monotonically_increasing_id())
+    return materialise(placed.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        F.monotonically_increasing_id().alias("row"), "id", "vector")), d
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -203,11 +209,13 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
            calibration_queries: int = CALIBRATION_QUERIES) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of every row for which `is_query` (over `id`) holds."""
     spark = table.sparkSession
-    rows, d = usable_vectors(table, id_col, vector_col)
-    total = rows.count()
-    if not rows.where(is_query).head(1):
+    named, d = usable_vectors(table, id_col, vector_col)
+    total = named.count()
+    if not named.where(is_query).head(1):
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    spread = unit_hash(F.lit("tree"), F.col("id"))
+    spread = unit_hash(F.lit("tree"), F.col("name"))
+    # From here on a row's number stands for its id.
+    rows = named.select(F.col("row").alias("id"), "vector", F.col("id").alias("name"), is_query.alias("asks"))
     fitted_on = rows.where(spread < min(1.0, 1.1 * sample / total)).limit(sample).select("vector").toArrow()
     if not fitted_on.num_rows:
         fitted_on = rows.limit(sample).select("vector").toArrow()
@@ -218,12 +226,12 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         for batch in batches:
             if batch.num_rows:
                 leaf = shared.value.place(_matrix(pa.chunked_array([batch["vector"]]), d))
-                yield pa.RecordBatch.from_pydict({"id": batch["id"], "vector": batch["vector"], "leaf": leaf.astype(np.int32)})
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], names=[*batch.schema.names, "leaf"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    indexed = materialise(rows.mapInArrow(placed, f"id long, vector {kind}, leaf int"))
-    queries = indexed.where(is_query)
-    chosen = queries.orderBy(F.xxhash64(F.lit("calibration"), "id"), "id").limit(calibration_queries).collect()
+    indexed = materialise(rows.mapInArrow(placed, f"id long, vector {kind}, name long, asks boolean, leaf int"))
+    queries = indexed.where("asks")
+    chosen = queries.orderBy(F.xxhash64(F.lit("calibration"), "name"), "id").limit(calibration_queries).collect()
     visits = calibrated_visits(tree, indexed, chosen, d, k, recall)
     # One count per leaf; the number of leaves is bounded by the sample.
     in_leaf = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
@@ -250,7 +258,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     query_blocks = np.array([max(1, -(-visitors.get(n, 0) // BLOCK_QUERIES)) for n in range(tree.leaves)])
     blocks_of = lambda counts: F.element_at(F.array(*[F.lit(int(c)) for c in counts]), F.col("leaf") + 1)
     cell = ["leaf", "row_block", "query_block"]
-    left = indexed.withColumn("row_block", F.pmod(F.xxhash64("id"), blocks_of(row_blocks)).cast("int")) \
+    left = indexed.select("id", "vector", "leaf").withColumn("row_block", F.pmod(F.xxhash64("id"), blocks_of(row_blocks)).cast("int")) \
         .withColumn("query_block", F.explode(F.sequence(F.lit(0), blocks_of(query_blocks) - 1)))
     right = walks.select("query_id", "vector", F.explode("leaves").alias("leaf")) \
         .withColumn("query_block", F.pmod(F.xxhash64("query_id"), blocks_of(query_blocks)).cast("int")) \
@@ -264,4 +272,8 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         return pa.table({"query_id": q.astype(np.int64), "id": i.astype(np.int64), "score": s})
 
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, RESULT)
-    return _ranked(found, k).select("query_id", "rank", "id", "score")
+    best_rows = _ranked(found, k).withColumnsRenamed({"query_id": "asked", "id": "found"})
+    names = named.select("row", "id")
+    return (
+        best_rows.join(names.select(F.col("row").alias("asked"), F.col("id").alias("query_id")), "asked")
+        .join(names.select(F.col("row").alias("found"), "id"), "found").select("query_id", "rank", "id", "score"))

@@ -57,7 +57,7 @@ def test_fewer_visits_are_calibrated_where_vectors_cluster(spark):
     table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
     rows, d = kt.usable_vectors(table, "vec_id", "embedding")
     tree = kt.fit_tree(x, 8, 50)
-    indexed = rows.select("id", "vector").toPandas()
+    indexed = rows.select(F.col("row").alias("id"), "vector").toPandas()
     indexed["leaf"] = tree.place(np.stack(indexed["vector"]))
     frame = spark.createDataFrame([(int(i), [float(z) for z in v], int(n)) for i, v, n in indexed.itertuples(index=False)],
                                   "id bigint, vector array<double>, leaf int")
@@ -93,9 +93,12 @@ def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0], "x"), (20, [0.5, 0.5], "x"), (20, [0.4, 0.5], "x"), (20, [0.5, 0.5], None), (3, None, "x"), (4, [0.0, 0.0], "x"),
             (5, [nan, 1.0], "x"), (6, [inf, 1.0], "x"), (7, [None, 1.0], "x"), (8, [1.0], "x"), (9, [2.0, 1.0], "x"), (None, [1.0, 1.0], "x"), (10, [], "x")]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, id string")
-    got = as_dict(kt.search(table, F.col("id") % 20 == 0, 20))
-    assert {q: [i for i, _ in r] for q, r in got.items()} == {0: [9, 20], 20: [9, 0]}
-    assert got[20][0][1] == pytest.approx(2 * np.float32(0.4) + 0.5, abs=0)
+    got = {}
+    for r in sorted(tuple(r) for r in kt.search(table, F.col("id") % 20 == 0, 20).select("query_id", "rank", "id").collect()):
+        got.setdefault(r[0], []).append(r[1:])
+    # Three rows have id 20, two of them the vector (0.5, 0.5); each asks, and each is found by the others.
+    first, second = [(1, 9), (2, 20), (3, 20), (4, 0)], [(1, 9), (2, 0), (3, 20), (4, 20)]
+    assert got == {0: [(1, 9), (2, 20), (3, 20), (4, 20)], 20: sorted(first + second + second)}
     empty = kt.search(table.where("false"), F.col("id") % 20 == 0)
     assert empty.columns == RESULT and empty.count() == 0
     assert kt.search(table, F.col("id") % 20 == 11).count() == 0
@@ -113,3 +116,19 @@ def test_every_query_gets_k_rows_where_leaves_are_small(spark):
     assert {len(found) for found in got.values()} == {20}
     few = as_dict(kt.search(table.where(F.col("vec_id") >= len(groups)), F.col("id") % 2 == 0, 20, recall=0.1, leaf_vectors=1))
     assert {len(found) for found in few.values()} == {11} and len(few) == 6
+
+
+def test_rows_that_repeat_an_id_ask_and_are_found(spark):
+    """Every row against every other, by brute force over row places."""
+    rng = np.random.default_rng(4)
+    ids = np.repeat(np.arange(60), 3)
+    x = rng.normal(size=(180, 5)).round(1)
+    x[1::9] = x[0::9]  # some whole rows repeat
+    table = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id bigint, embedding array<double>")
+    want = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        order = [i for i in np.lexsort((ids, -score.round(12))) if i != q][:7]
+        want += [(int(ids[q]), n, round(float(score[i]), 9)) for n, i in enumerate(order, 1)]
+    got = kt.search(table, F.col("id") % 20 == 0, 7, recall=1.0, leaf_vectors=500)
+    assert sorted((r["query_id"], r["rank"], round(r["score"], 9)) for r in got.collect()) == sorted(want)
