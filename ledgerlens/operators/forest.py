@@ -198,10 +198,18 @@ def _tree_plan(sizes: Mapping[int, int], trees: int, max_samples: int, seed: int
 def grow_forest(
     pool: DataFrame, features: Sequence[str], trees: int, max_samples: int, max_features: float, seed: int,
 ) -> pd.DataFrame:
-    """Node table of `trees` trees for every `_fold` of the pool, one task per tree.
+    """Node table of `trees` trees for every `_fold` of the pool, one task per tree."""
+    return grow_forests(pool, features, [(trees, max_samples, max_features)], seed).drop(columns="setting")
+
+
+def grow_forests(
+    pool: DataFrame, features: Sequence[str], settings: Sequence[tuple[int, int, float]], seed: int,
+) -> pd.DataFrame:
+    """Node tables of several forests, each (trees, max_samples, max_features), for every `_fold` of the pool.
 
     The pool is bounded by the parameters. Its rows are numbered in hash order, a random order,
-    and each tree takes evenly strided numbers, which are distinct rows.
+    and each tree takes evenly strided numbers, which are distinct rows. All forests grow in one job,
+    one tree at a time; the nodes are bounded by trees x rows per tree.
     """
     spark = pool.sparkSession
     numbered = pool.select(
@@ -213,23 +221,25 @@ def grow_forest(
     if not sizes:
         raise ValueError("cannot train on an empty table")
     plan = spark.createDataFrame(
-        _tree_plan(sizes, trees, max_samples, seed),
-        "_fold int, tree int, stride long, start long, rows int, pool_rows long")
+        [(i, *row) for i, (trees, max_samples, _) in enumerate(settings) for row in _tree_plan(sizes, trees, max_samples, seed)],
+        "setting int, _fold int, tree int, stride long, start long, rows int, pool_rows long")
     picks = plan.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).select(
-        "_fold", "tree", ((F.col("start") + F.col("stride") * F.col("_i")) % F.col("pool_rows")).alias("_number"))
+        "setting", "_fold", "tree", ((F.col("start") + F.col("stride") * F.col("_i")) % F.col("pool_rows")).alias("_number"))
     names = list(features)
+    shares = [max_features for _, _, max_features in settings]
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_number", kind="stable")
-        fold, tree = int(frame["_fold"].iloc[0]), int(frame["tree"].iloc[0])
-        nodes = grow_tree(frame[names].to_numpy(dtype=float), max_features,
+        setting, fold, tree = (int(frame[c].iloc[0]) for c in ("setting", "_fold", "tree"))
+        nodes = grow_tree(frame[names].to_numpy(dtype=float), shares[setting],
                           np.random.default_rng([seed, fold, tree]))
-        return nodes.assign(fold=fold, tree=tree).astype({
+        return nodes.assign(setting=setting, fold=fold, tree=tree).astype({
             "node": "int32", "feature": "int32", "left": "int32", "right": "int32",
             "size": "int32", "depth": "int32"})
 
     drawn = picks.join(numbered, ["_fold", "_number"])
-    nodes = drawn.groupBy("_fold", "tree").applyInPandas(build, f"fold int, {_NODE_SCHEMA}").toPandas()
+    nodes = drawn.groupBy("setting", "_fold", "tree").applyInPandas(
+        build, f"setting int, fold int, {_NODE_SCHEMA}").toPandas()
     numbered.unpersist()
     return nodes
 
@@ -355,53 +365,70 @@ def search_forest(
     Contamination moves all scores by the same amount, which the criterion cancels, so its first
     value stands for all. The forest with the most trees holds the smaller ones, so tree counts
     are compared from one forest. Folds are a hash of the key.
+
+    All forests grow in one job from one pool and score every row in one scan, with one column per
+    combination; quantiles and sums of all of them are aggregates over those columns.
     """
     signals, medians, scales = _training_signals(df, key_cols)
     scaled = robust_scale(impute_median(signals, medians), medians, scales)
     fold = F.pmod(_row_hash(seed + 1, key_cols), F.lit(folds)).cast("int")
     folded = scaled.withColumn("_fold", fold)
-    rows = folded.count()
     counts = sorted(grid["n_estimators"])
-    largest = counts[-1]
-    tables = []
-    for max_features, max_samples in itertools.product(grid["max_features"], grid["max_samples"]):
-        others = F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col("_fold"))
-        pool = draw_pool(folded, [*key_cols, *FEATURES], largest * max_samples * folds // max(folds - 1, 1), seed, rows)
-        pool = pool.withColumn("_fold", F.explode(others))
-        nodes = grow_forest(pool, FEATURES, largest, max_samples, max_features, seed)
-        scored = _fold_scores(folded, nodes, counts, max_samples)
-        tables.append(scored.select(
-            "_fold", F.lit(max_samples).alias("max_samples"), F.lit(max_features).alias("max_features"),
-            F.posexplode("_scores").alias("_i", "score")).select(
-            "_fold", "max_samples", "max_features",
-            F.element_at(F.array(*[F.lit(c) for c in counts]), F.col("_i") + 1).alias("n_estimators"), "score"))
-    scores = tables[0]
-    for t in tables[1:]:
-        scores = scores.unionByName(t)
-    combination = ["max_features", "max_samples", "n_estimators"]
-    by_fold = extreme_separation(materialise(scores), "score", [*combination, "_fold"])
-    result = materialise(by_fold.groupBy(*combination).agg(F.avg("separation").alias("separation")))
-    best = result.orderBy(F.desc("separation"), *combination).first()
-    return result, {**{c: best[c] for c in combination}, "contamination": grid["contamination"][0]}
-
-
-def _fold_scores(folded: DataFrame, nodes: pd.DataFrame, counts: Sequence[int], max_samples: int) -> DataFrame:
-    """`_scores`: for each row, the score by the first n trees of the forest that did not see its fold."""
+    pairs = list(itertools.product(grid["max_features"], grid["max_samples"]))
+    others = F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col("_fold"))
+    wanted = counts[-1] * max(grid["max_samples"]) * folds // max(folds - 1, 1)
+    pool = draw_pool(folded, [*key_cols, *FEATURES], wanted, seed).withColumn("_fold", F.explode(others))
+    nodes = grow_forests(pool, FEATURES, [(counts[-1], rows, share) for share, rows in pairs], seed)
+    scores = materialise(_fold_scores(folded, nodes, counts, len(pairs)))
+    separations = _fold_separations(scores, [c for c in scores.columns if c != "_fold"], folds)
+    rows = [(share, samples, trees, separations[i * len(counts) + j])
+            for i, (share, samples) in enumerate(pairs) for j, trees in enumerate(counts)]
+    result = df.sparkSession.createDataFrame(rows, "max_features double, max_samples int, n_estimators int, separation double")
+    share, samples, trees, _ = min(rows, key=lambda r: (-r[3], *r[:3]))
+    return result, {"max_features": share, "max_samples": samples, "n_estimators": trees, "contamination": grid["contamination"][0]}
+
+
+def _fold_separations(scores: DataFrame, columns: Sequence[str], folds: int) -> list[float]:
+    """`extreme_separation` of every score column, as the mean over the folds that have rows.
+
+    Every (column, fold) is a column of its own, so no row is made per combination.
+    """
+    cells = {f"{c}_{f}": F.when(F.col("_fold") == f, F.col(c)) for c in columns for f in range(folds)}
+    wide = scores.select(*[v.alias(n) for n, v in cells.items()])
+    cutoffs = column_quantiles(wide, list(cells), [EXTREME_SHARE])
+    measures = []
+    for n in cells:
+        low = F.lit(cutoffs[n][0]).cast("double")
+        measures += [F.count(n).alias(f"{n}_rows"), F.avg(F.when(F.col(n) <= low, F.col(n))).alias(f"{n}_low"),
+                     F.avg(F.when(F.col(n) > low, F.col(n))).alias(f"{n}_high")]
+    found = wide.agg(*measures).first()
+
+    def separation(n: str) -> float:
+        low, high = found[f"{n}_low"], found[f"{n}_high"]
+        return high - low if found[f"{n}_rows"] >= MIN_ROWS and low is not None and high is not None else 0.0
+
+    held = [f for f in range(folds) if found[f"{columns[0]}_{f}_rows"]]
+    return [sum(separation(f"{c}_{f}") for f in held) / len(held) for c in columns]
+
+
+def _fold_scores(folded: DataFrame, nodes: pd.DataFrame, counts: Sequence[int], settings: int) -> DataFrame:
+    """`_fold` and `s0`, `s1`, …: for each setting and tree count, the score by the first trees of the
+    forest that did not see the row's fold."""
     packed = folded.sparkSession.sparkContext.broadcast({
-        int(fold): (pack_nodes(part), float(average_path_length(part.loc[part["node"] == 0, "size"].max())))
-        for fold, part in nodes.groupby("fold")})
-    names, wanted = list(FEATURES), list(counts)
+        key: (pack_nodes(part), float(average_path_length(part.loc[part["node"] == 0, "size"].max())))
+        for key, part in nodes.groupby(["fold", "setting"])})
+    names, wanted, width = list(FEATURES), np.array(counts), len(counts)
 
     @F.pandas_udf("array<double>")
     def score(frame: pd.DataFrame) -> pd.Series:
-        out = np.zeros((len(frame), len(wanted)))
+        out = np.zeros((len(frame), settings * width))
         x, fold_of = frame[names].to_numpy(dtype=float), frame["_fold"].to_numpy()
-        for fold, (trees, usual) in packed.value.items():
+        for (fold, setting), (trees, usual) in packed.value.items():
             rows = np.flatnonzero(fold_of == fold)
             if len(rows):
-                running = np.concatenate([np.cumsum(b, axis=1)[:, [c - 1 for c in wanted]]
-                                          for b in path_lengths(x[rows], trees)])
-                out[rows] = -np.power(2.0, -running / np.array(wanted) / usual)
+                running = np.concatenate([np.cumsum(b, axis=1)[:, wanted - 1] for b in path_lengths(x[rows], trees)])
+                out[rows, setting * width:(setting + 1) * width] = -np.power(2.0, -running / wanted / usual) if usual > 0 else -1.0
         return pd.Series(list(out))
 
-    return folded.select("_fold", score(F.struct(*names, "_fold")).alias("_scores"))
+    scored = folded.select("_fold", score(F.struct(*names, "_fold")).alias("_scores"))
+    return scored.select("_fold", *[F.col("_scores")[i].alias(f"s{i}") for i in range(settings * width)])

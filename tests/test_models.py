@@ -97,6 +97,35 @@ def test_search_covers_the_grid(table):
     assert best["contamination"] == 0.01
 
 
+def test_search_scores_every_forest_in_one_scan_as_each_on_its_own(spark, table):
+    """Trees of a setting and the separation of each fold, by plain numpy over one forest at a time."""
+    signals = forest.impute_median(forest.add_signals(table), dict.fromkeys(forest.FEATURES, 0.0))
+    folded = signals.withColumn("_fold", F.pmod("k", F.lit(2)).cast("int")).select("k", *forest.FEATURES, "_fold")
+    pool = forest.draw_pool(folded, ["k"], 10_000, 1).withColumn("_fold", 1 - F.col("_fold"))
+    settings = [(6, 32, 1.0), (6, 64, 0.75)]
+    nodes = forest.grow_forests(pool, forest.FEATURES, settings, 5)
+    alone = forest.grow_forest(pool, forest.FEATURES, 6, 64, 0.75, 5)
+    same = ["fold", "tree", "node"]
+    pd.testing.assert_frame_equal(nodes[nodes["setting"] == 1].drop(columns="setting").sort_values(same).reset_index(drop=True),
+                                  alone.sort_values(same).reset_index(drop=True))
+    scores = forest._fold_scores(folded, nodes, [3, 6], 2)
+    assert scores.columns == ["_fold", "s0", "s1", "s2", "s3"]
+    got = forest._fold_separations(scores, ["s0", "s1", "s2", "s3"], 2)
+    frame, want = folded.toPandas(), []
+    for setting, (_, rows, _) in enumerate(settings):
+        for trees in (3, 6):
+            found = []
+            for fold in (0, 1):
+                mine = nodes[(nodes["setting"] == setting) & (nodes["fold"] == fold) & (nodes["tree"] < trees)]
+                x = frame.loc[frame["_fold"] == fold, list(forest.FEATURES)].to_numpy()
+                depth = np.concatenate([b.mean(axis=1) for b in forest.path_lengths(x, forest.pack_nodes(mine))])
+                s = -np.power(2.0, -depth / forest.average_path_length(rows))
+                cut = np.quantile(s, 0.1)
+                found.append(s[s > cut].mean() - s[s <= cut].mean())
+            want.append(np.mean(found))
+    assert np.allclose(got, want, rtol=0, atol=1e-9)
+
+
 def test_separation_of_few_rows_is_zero(spark):
     assert forest.extreme_separation(spark.range(9).select(F.col("id").cast("double").alias("s")), "s").first()[0] == 0.0
     twenty = spark.range(20).select(F.col("id").cast("double").alias("s"), F.lit(1).alias("g"))
