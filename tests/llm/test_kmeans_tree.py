@@ -132,3 +132,60 @@ def test_rows_that_repeat_an_id_ask_and_are_found(spark):
         want += [(int(ids[q]), n, round(float(score[i]), 9)) for n, i in enumerate(order, 1)]
     got = kt.search(table, F.col("id") % 20 == 0, 7, recall=1.0, leaf_vectors=500)
     assert sorted((r["query_id"], r["rank"], round(r["score"], 9)) for r in got.collect()) == sorted(want)
+
+
+def clustered(n, per_cluster=250, d=16, seed=11):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(n // per_cluster, d)) * 4
+    x = np.repeat(centers, per_cluster, axis=0) + rng.normal(size=(n // per_cluster * per_cluster, d)) * 0.3
+    return x[rng.permutation(len(x))]
+
+
+def index_of(spark, x, **limits):
+    table = spark.createDataFrame(((i, v.tolist()) for i, v in enumerate(x)), "vec_id bigint, embedding array<double>")
+    named, d = kt.usable_vectors(table, "vec_id", "embedding")
+    rows = named.select(F.col("row").alias("id"), "vector", F.col("id").alias("name"), (F.col("id") % 20 == 0).alias("asks"))
+    return kt.grow_index(rows, len(x), d, **limits)
+
+
+def test_leaves_and_rows_scanned_do_not_grow_with_the_table(spark):
+    """The same sample for four times the rows: leaves stay bounded, recall holds, a query reads about as many rows."""
+    limits = {"sample": 500, "leaf_rows": 200}
+    scanned = []
+    for n in (5_000, 20_000):
+        x = clustered(n)
+        index = index_of(spark, x, **limits)
+        assert index.in_leaf.max() <= 200 and index.in_leaf.sum() == n and index.rows.count() == n
+        assert sorted(index.tree.walk(x[0], 0.5)) == list(range(index.tree.leaves))
+        kt.calibrate(index, 10)
+        queries = range(0, n, n // 100)
+        scanned.append(np.mean([sum(index.in_leaf[leaf] for leaf in index.leaves_for(x[q], 10)) for q in queries]))
+        assert scanned[-1] <= n / 4
+    assert scanned[1] <= 2 * scanned[0]
+    table = spark.createDataFrame(((i, v.tolist()) for i, v in enumerate(x)), "vec_id bigint, embedding array<double>")
+    got = as_dict(kt.search(table, F.col("id") % 100 == 0, 10, **limits))
+    want = exact(np.arange(len(x)), x, 10, sorted(got))
+    assert len(got) == 200 and np.mean([len(dict(got[q]).keys() & dict(want[q]).keys()) / 10 for q in got]) >= 0.9
+
+
+def test_leaves_that_cannot_be_split_or_do_not_fit_stay_whole(spark):
+    x = clustered(2_000)
+    x[:900] = x[0]
+    index = index_of(spark, x, sample=300, leaf_rows=100)
+    assert index.in_leaf.sum() == 2_000 and index.in_leaf.max() >= 900 and np.sort(index.in_leaf)[-2] <= 100
+    small = index_of(spark, clustered(4_000), sample=300, leaf_rows=50, tree_bytes=8 * 16 * 20)
+    assert len(small.tree.centers) <= 40 and small.in_leaf.sum() == 4_000
+    table = spark.createDataFrame(((i, v.tolist()) for i, v in enumerate(x)), "vec_id bigint, embedding array<double>")
+    got = as_dict(kt.search(table, F.col("id") % 50 == 0, 5, sample=300, leaf_rows=100, recall=1.0))
+    want = exact(np.arange(len(x)), x, 5, sorted(got))
+    assert sum([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in got) >= 0.9 * len(got)
+
+
+def test_grafted_tree_numbers_its_leaves_once():
+    x = clustered(3_000)
+    tree = kt.fit_tree(x, 5, 400)
+    node = int(np.flatnonzero(tree.leaf >= 0)[1])
+    inside = x[tree.place(x) == tree.leaf[node]]
+    both = tree.grafted({node: kt.fit_tree(inside, 3, 20)})
+    assert both.leaves == tree.leaves - 1 + kt.fit_tree(inside, 3, 20).leaves
+    assert sorted(both.walk(x[5], 1.0)) == list(range(both.leaves)) == sorted(np.unique(both.place(x)).tolist())
