@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import itertools
 import math
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.operators.features import ROLLING_COLUMNS
 from ledgerlens.operators.quantiles import column_quantiles
 from ledgerlens.schema import DATE, require_columns
+from ledgerlens.session import materialise
 
 TARGET = "quantity_sum"
 KEY = ("Product", "Region", DATE)
@@ -75,6 +75,23 @@ def learn_imputation(df: DataFrame, numeric: Sequence[str], categorical: Sequenc
     return {**medians, **{c: most_frequent(df, c) or "" for c in categorical}}
 
 
+def learn_fold_imputation(
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], fold_col: str, folds: Sequence[int],
+) -> dict[int, dict[str, object]]:
+    """What `learn_imputation` finds in the rows outside each fold, for all folds in the same jobs."""
+    cells = {(f, c): f"{f}_{i}" for f in folds for i, c in enumerate(numeric)}
+    wide = df.select(*[F.when(F.col(fold_col) != f, F.col(c).cast("double")).alias(n) for (f, c), n in cells.items()])
+    medians = column_quantiles(wide, list(cells.values()), [0.5]) if cells else {}
+    found = {f: {c: medians[cells[f, c]][0] or 0.0 for c in numeric} for f in folds}
+    for c in categorical:
+        outside = [F.count(F.when(F.col(fold_col) != f, 1)).alias(f"n{f}") for f in folds]
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(*outside)
+        best = counts.agg(*[F.min(F.when(F.col(f"n{f}") > 0, F.struct(-F.col(f"n{f}"), "value"))).alias(f"f{f}") for f in folds]).first()
+        for f in folds:
+            found[f][c] = best[f"f{f}"]["value"] if best[f"f{f}"] else ""
+    return found
+
+
 def _quoted(text: object) -> str:
     return "'" + str(text).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -184,28 +201,45 @@ def fit_with_search(
 ) -> tuple[PipelineModel, DataFrame, dict]:
     """Cross-validated grid search on RMSE: best model, one row per combination, best parameters.
 
-    Folds are a hash of the key, so they do not depend on the partitioning. The feature vectors
-    are made once and shared by all folds.
+    Folds are a hash of the key, so they do not depend on the partitioning. Each fold is imputed with
+    what the other folds hold. Combinations that come to the same tree settings are fitted once, and
+    fewer trees are the first ones of more trees, whose errors one pass gives for every number of trees;
+    so the full grid of 48 is 8 fits a fold.
     """
     require_columns(df, [target, *key_cols])
-    preprocessor = fit_preprocessor(df, numeric, categorical)
-    fold = F.pmod(F.xxhash64(F.lit(seed), *key_cols), F.lit(folds)).cast("int")
-    ready = _vectors(preprocessor.transform(df).select(
-        "features", F.col(target).cast("double").alias(target), fold.alias("_fold")))
     names = list(grid)
     combinations = [dict(zip(names, values)) for values in itertools.product(*grid.values())]
+    settings = [tree_params(c) for c in combinations]
+    kinds = [tuple((k, v) for k, v in sorted(s.items()) if k != "maxIter") for s in settings]
+    most = {kind: max(s["maxIter"] for s, k in zip(settings, kinds) if k == kind) for kind in kinds}
+    squares = {}
+    fold = F.pmod(F.xxhash64(F.lit(seed), *key_cols), F.lit(folds)).cast("int")
+    folded = materialise(select_features(df, numeric, categorical, target, key_cols).withColumn("_fold", fold))
+    held = [r["_fold"] for r in folded.groupBy("_fold").count().orderBy("_fold").collect()]
+    if len(held) < 2:
+        raise ValueError("the rows fall into fewer than two folds")
+    fills = learn_fold_imputation(folded, numeric, categorical, "_fold", held)
     regressor = _regressor(target, seed)
-    maps = [{regressor.getParam(k): v for k, v in tree_params(c).items()} for c in combinations]
-    search = CrossValidator(
-        estimator=regressor, estimatorParamMaps=maps, numFolds=folds, foldCol="_fold", parallelism=parallelism,
-        evaluator=RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="rmse")).fit(ready)
-    ready.unpersist()
-    best = min(range(len(maps)), key=lambda i: search.avgMetrics[i])
-    rows = [(i, *[float(c[n]) for n in names], float(m), i == best)
-            for i, (c, m) in enumerate(zip(combinations, search.avgMetrics))]
+    for f in held:
+        outside = folded.where(F.col("_fold") != f)
+        ready = _vectors(fit_preprocessor(outside, numeric, categorical, fills[f]).transform(folded).select(
+            "features", F.col(target).cast("double").alias(target), "_fold"))
+        train, valid = ready.where(F.col("_fold") != f), ready.where(F.col("_fold") == f)
+
+        def errors(kind: tuple) -> list[float]:
+            model = regressor.fit(train, {regressor.getParam(k): v for k, v in (*kind, ("maxIter", most[kind]))})
+            return model.evaluateEachIteration(valid, "squared")
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            for kind, found in zip(most, pool.map(errors, most)):
+                squares[f, kind] = found
+        ready.unpersist()
+    rmse = [sum(math.sqrt(squares[f, kind][s["maxIter"] - 1]) for f in held) / len(held) for s, kind in zip(settings, kinds)]
+    best = min(range(len(rmse)), key=rmse.__getitem__)
+    rows = [(i, *[float(c[n]) for n in names], m, i == best) for i, (c, m) in enumerate(zip(combinations, rmse))]
     schema = "combination int, " + ", ".join(f"{n} double" for n in names) + ", rmse double, best boolean"
     table = df.sparkSession.createDataFrame(rows, schema)
-    return PipelineModel([*preprocessor.stages, search.bestModel]), table, combinations[best]
+    return fit_with_params(folded, combinations[best], numeric, categorical, target, seed), table, combinations[best]
 
 
 def predict(model: PipelineModel, df: DataFrame, output: str = "prediction") -> DataFrame:

@@ -6,8 +6,9 @@ it are kept. All passes combine on the map side. If a bracket ever missed its ra
 stops with an error instead of returning a wrong number.
 
 What is left of a bracket is cut by rank, never by width, so extreme values do not gather the rest
-of a bracket in one place: over groups into slots of about equally many distinct values, over whole
-columns by bracketing again inside the bracket until few values remain.
+of a bracket in one place: over groups into slots of about equally many distinct values, again and
+again while a bracket is large; over whole columns by bracketing again inside the bracket until few
+values remain.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ledgerlens.session import materialise
 
 ACCURACY = 2_000
 _MARGIN = 10          # bracket half-width in units of the sketch's own rank error
 _SLOTS = 100          # pieces of a bracket with about equally many values, of which at most two are sorted
+_MOST = 1_000_000     # a bracket of a group is cut again until it holds no more distinct values
 _FEW = 10_000         # a bracket is narrowed until no more rows lie strictly inside it
 
 
@@ -76,7 +78,8 @@ def exact_quantiles(
 
     The distinct values of each bracket are written out once and divided by a second sketch into
     slots of about equally many; the slots are counted and only those holding the wanted ranks are
-    sorted, so no task sorts a group or even a whole bracket.
+    kept. While any bracket is large, all of them are cut again in the same jobs; what is sorted in
+    the end is a bounded number of values per slot, however many rows a group has.
     """
     groups = list(group_cols)
     names, ps = list(probs), list(probs.values())
@@ -108,9 +111,31 @@ def exact_quantiles(
     joined = rows.join(brackets, same_group).select(*groups, "_value", F.explode("_wanted").alias("_w"))
     v, low, high = F.col("_value"), F.col("_w.low"), F.col("_w.high")
     # Rows under the bracket share one null value, so they shrink to a count on the map side.
-    counted = materialise(joined.where(v <= high).select(
+    counted = joined.where(v <= high).select(
         *groups, F.col("_w.q").alias("_q"), F.col("_w.rank").alias("_rank"), F.when(v >= low, v).alias("_value"),
-    ).groupBy(*groups, "_q", "_rank", "_value").agg(F.count(F.lit(1)).alias("_n")))
+    ).groupBy(*groups, "_q", "_rank", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    written = Observation()
+    counted = materialise(counted.observe(written, F.count(F.lit(1)).alias("rows")))
+    keys = [*groups, "_q"]
+    if written.get["rows"] > _MOST:
+        while counted.groupBy(*keys).count().agg(F.max("count")).first()[0] > _MOST:
+            counted = _cut_again(_needed_slots(counted, groups, accuracy, bounded_groups), keys)
+    needed = _needed_slots(counted, groups, accuracy, bounded_groups)
+    inside = _running(needed, [*keys, "_slot"], "_value", "_n").withColumns(
+        {"_from": F.col("_from") + F.col("_start"), "_upto": F.col("_upto") + F.col("_start")})
+    return _pick(inside, keys).groupBy(*groups).agg(
+        *[F.max(F.when(F.col("_q") == i, F.col("_quantile"))).alias(n) for i, n in enumerate(names)])
+
+
+def _cut_again(needed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The values of the needed slots, with the rows under them as one null value again."""
+    under = needed.groupBy(*keys, "_rank").agg(F.min("_start").alias("_n")).where("_n > 0")
+    return materialise(needed.select(*keys, "_rank", "_value", "_n").unionByName(
+        under.select(*keys, "_rank", F.lit(None).cast("double").alias("_value"), "_n")))
+
+
+def _needed_slots(counted: DataFrame, groups: Sequence[str], accuracy: int, bounded_groups: bool) -> DataFrame:
+    """The values of those slots that hold a wanted rank, with `_slot` and the rows before it as `_start`."""
     cut_at = F.array(*[F.lit(i / _SLOTS) for i in range(1, _SLOTS)])
     cuts = counted.groupBy(*groups, "_q").agg(F.percentile_approx("_value", cut_at, F.lit(accuracy)).alias("_cuts")).select(
         *[F.col(g).alias(f"_key_{i}") for i, g in enumerate([*groups, "_q"])], "_cuts")
@@ -134,10 +159,7 @@ def exact_quantiles(
     same = F.col("_slot") == F.col("_needed")
     for i, g in enumerate(keys):
         same = same & F.col(g).eqNullSafe(F.col(f"_key_{i}"))
-    inside = _running(counted.join(needed, same), [*keys, "_slot"], "_value", "_n").withColumns(
-        {"_from": F.col("_from") + F.col("_start"), "_upto": F.col("_upto") + F.col("_start")})
-    return _pick(inside, keys).groupBy(*groups).agg(
-        *[F.max(F.when(F.col("_q") == i, F.col("_quantile"))).alias(n) for i, n in enumerate(names)])
+    return counted.join(needed, same).select(*keys, "_rank", "_slot", "_value", "_n", "_start")
 
 
 def column_quantiles(

@@ -242,6 +242,38 @@ def test_search_and_round_trip(table, tmp_path):
     assert again.join(boosted.predict(model, table, "was").select("k", "was"), "k").where("was <> prediction").count() == 0
 
 
+def test_equal_settings_share_a_fit_and_fewer_trees_are_a_prefix(table, monkeypatch):
+    fits, real = [], boosted.GBTRegressor.fit
+    monkeypatch.setattr(boosted.GBTRegressor, "fit", lambda self, *a: fits.append(1) or real(self, *a))
+    grid = {**boosted.PARAM_GRID, "n_estimators": [2, 3], "learning_rate": [0.3], "min_child_samples": [5], "num_leaves": [3, 7]}
+    _, result, best = boosted.fit_with_search(table, grid, key_cols=["k"], folds=2)
+    rows = result.toPandas()
+    assert len(rows) == 12 and len(fits) == 2 * 2 + 1
+    assert (rows.groupby(["n_estimators", "num_leaves"])["rmse"].nunique() == 1).all()
+    assert rows.loc[rows["best"], "rmse"].iloc[0] == rows["rmse"].min() and best["n_estimators"] == 3
+    # One combination by hand: a model of two trees, fitted without a fold and measured on it.
+    fold = F.pmod(F.xxhash64(F.lit(3), "k"), F.lit(2)).cast("int")
+    params = {"n_estimators": 2, "learning_rate": 0.3, "num_leaves": 7, "min_child_samples": 5, "colsample_bytree": 0.8}
+    errors = []
+    for f in (0, 1):
+        model = boosted.fit_with_params(table.where(fold != f), params)
+        miss = F.col("prediction") - F.col(boosted.TARGET)
+        errors.append(math.sqrt(boosted.predict(model, table.where(fold == f)).agg(F.avg(miss * miss)).first()[0]))
+    got = rows[(rows["n_estimators"] == 2) & (rows["num_leaves"] == 7)]["rmse"].iloc[0]
+    assert got == pytest.approx(np.mean(errors), rel=0.02)
+
+
+def test_each_fold_is_imputed_by_the_others(spark):
+    """Fold 2 is extreme, so the medians without it differ from those of all rows."""
+    rows = [(f, 1000.0 if f == 2 else float(i), "z" if f == 2 else "a") for f in range(3) for i in range(11 + 30 * (f == 2))]
+    df = spark.createDataFrame([*rows, (0, None, None)], "_fold int, x double, c string")
+    got = boosted.learn_fold_imputation(df, ["x"], ["c"], "_fold", [0, 1, 2])
+    assert got == {0: {"x": 1000.0, "c": "z"}, 1: {"x": 1000.0, "c": "z"}, 2: {"x": 5.0, "c": "a"}}
+    assert boosted.learn_imputation(df, ["x"], ["c"]) == {"x": 1000.0, "c": "z"}
+    none = boosted.learn_fold_imputation(df.where("_fold = 1"), ["x"], ["c"], "_fold", [1])
+    assert none == {1: {"x": 0.0, "c": ""}}
+
+
 def test_grid_settings_map_to_tree_settings():
     assert boosted.tree_params(boosted.BEST_PARAMS)["maxDepth"] == 6
     assert boosted.tree_params({"num_leaves": 63, "max_depth": 4})["maxDepth"] == 4

@@ -67,3 +67,25 @@ def test_the_number_of_jobs_does_not_grow_with_the_columns(spark, monkeypatch):
 
     assert jobs(names) <= jobs(names[:1]) + 1
     df.unpersist()
+
+
+def test_the_largest_sorted_slot_does_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(qt, "_MOST", 200)
+    sorted_rows, real = [], qt._running
+
+    def spy(rows, keys, order, size):
+        if order == "_value":
+            sorted_rows.append(rows.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return real(rows, keys, order, size)
+
+    monkeypatch.setattr(qt, "_running", spy)
+    rng = np.random.default_rng(7)
+    for n in (10_000, 80_000):
+        x = np.concatenate([rng.normal(size=n), np.full(n // 4, 0.5), [1e12, -1e12]])
+        g = rng.choice(["a", "b", None], len(x), p=[0.6, 0.3, 0.1])
+        df = spark.createDataFrame(list(zip(x.tolist(), g.tolist())), "v double, g string").repartition(4)
+        got = qt.exact_quantiles(df, "v", {"low": 0.1, "mid": 0.5, "top": 0.97}, ["g"], accuracy=100).collect()
+        for r in got:
+            want = np.quantile(x[[v == r["g"] for v in g]], [0.1, 0.5, 0.97])
+            assert np.allclose([r["low"], r["mid"], r["top"]], want, rtol=1e-12), r
+    assert len(sorted_rows) == 2 and max(sorted_rows) <= 50

@@ -1,9 +1,11 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import filters, outliers, periods
+from ledgerlens.operators import filters, ordered, outliers, periods
 from ledgerlens.operators.evaluation import one_step_ahead
 
 
@@ -48,6 +50,50 @@ def test_bands(df, table, method, window):
     assert got["is_outlier"].tolist() == ((y < low) | (y > high)).tolist()
 
 
+def test_moving_quartiles_equal_each_window_on_its_own():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=400), 1)
+    x[rng.random(400) < 0.2] = np.nan
+    x[50:70] = np.nan
+    x[100], x[200] = np.inf, -1e300
+    for window in (2, 7, 30, 1000):
+        got = outliers._moving_quartiles(x, window)
+        for i in range(len(x)):
+            seen = x[max(0, i - window + 1):i + 1]
+            seen = seen[~np.isnan(seen)]
+            if not len(seen):
+                assert np.isnan(got[i]).all()
+            elif np.isfinite(seen).all():
+                assert np.allclose(got[i], np.quantile(seen, outliers.QUARTILES), rtol=1e-12)
+
+
+def test_a_long_window_costs_little_more_than_a_short_one():
+    x = np.random.default_rng(4).normal(size=100_000)
+
+    def seconds(window):
+        best = np.inf
+        for _ in range(3):
+            start = time.process_time()
+            outliers._moving_quartiles(x, window)
+            best = min(best, time.process_time() - start)
+        return best
+
+    assert seconds(1000) <= 2 * seconds(30)
+
+
+def test_moving_bands_run_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(outliers, "in_blocks", lambda df, before, after: ordered.in_blocks(df, before, after, rows=37))
+    rng = np.random.default_rng(5)
+    y = pd.Series(np.where(rng.random(300) < 0.1, np.nan, rng.normal(size=300)))
+    rows = [(i, None if np.isnan(v) else float(v), "x") for i, v in enumerate(y)]
+    series = spark.createDataFrame(rows, "day int, v double, kept string").repartition(5)
+    got = outliers.rolling_band(series, "v", 90, date_col="day").toPandas().sort_values("day")
+    over = y.rolling(90, min_periods=1)
+    assert list(got.columns) == ["day", "v", "kept", "lower_limit", "upper_limit", "reference", "is_outlier"]
+    assert len(got) == 300 and np.allclose(got["reference"], over.quantile(0.5), equal_nan=True)
+    assert np.allclose(got["upper_limit"], over.quantile(0.75) + 1.5 * (over.quantile(0.75) - over.quantile(0.25)), equal_nan=True)
+
+
 def test_bad_arguments(df):
     for call in (lambda: outliers.daily_series(df, "Quantity", "max"), lambda: outliers.global_band(df, "Quantity", "x"),
                  lambda: periods.period_distribution(df, "Quantity", "week"),
