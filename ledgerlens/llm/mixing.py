@@ -16,6 +16,7 @@ table, so a source with most of the rows is spread over all tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -64,6 +65,19 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, m
     return placed.withColumn("target", F.least(most * F.col("source_size"), F.lit(level) * F.col("weight")))
 
 
+def copies_at(place: Column, rate: Column, offset: Column, most: float) -> Column:
+    """Integers that `place * rate + offset` passes on the way to the next place, `ceil(most)` at most.
+
+    Whole part and rest are added up apart: far along a large source, a sum of both would round up.
+    """
+    def passed(at: Column) -> Column:
+        whole = F.floor(at * rate)
+        return whole + F.floor(at * rate - whole + offset)
+
+    place = place.cast("double")
+    return F.least(passed(place + 1) - passed(place), F.lit(math.ceil(most))).cast("long")
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
                 seed: str = SEED, size: Column | None = None) -> DataFrame:
     """All rows and columns of `docs` with size, source_size, target and copies (such columns are replaced).
@@ -82,11 +96,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
         F.col("source").alias("of"), "source_size", "first", "target")
     joined = placed.join(targets, F.col("source").eqNullSafe(F.col("of")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    place = (F.col(POSITION) - F.col("first")).cast("double")
     offset = seeded(F.coalesce("source", F.lit("")), seed)
-    copies = F.floor((place + 1) * rate + offset) - F.floor(place * rate + offset)
+    copies = copies_at(F.col(POSITION) - F.col("first"), rate, offset, most)
     return unpack(joined, docs.columns, {
-        "size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies.cast("long")})
+        "size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies})
 
 
 def emit_copies(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:

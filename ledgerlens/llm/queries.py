@@ -120,8 +120,9 @@ with sized as (
   from sized s join targets t on s.source is not distinct from t.source
 )
 select doc_id, size, source_size, target,
-  size * cast(floor((place + 1)::double * rate + shift) - floor(place::double * rate + shift) as bigint) as taken
-from placed
+  size * cast(least(2, floor(after) + floor(after - floor(after) + shift) - floor(before) - floor(before - floor(before) + shift)) as bigint)
+    as taken
+from (select *, (place + 1)::double * rate as after, place::double * rate as before from placed)
 """
 
 

@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +29,23 @@ def test_the_order_is_repeatable_and_does_not_depend_on_the_partitions(docs):
     assert list(one.doc_id) == list(two.doc_id) != list(other.doc_id)
 
 
+def test_the_order_is_that_of_a_plain_two_pass_shuffle(spark, docs):
+    """Pass one and two by plain lists; only the hash of a row is taken from the engine."""
+    key = F.xxhash64(F.lit(sharding.SEED), "doc_id", "text")
+    rows = [(r["doc_id"], r["key"], 16 + len((r["text"] or "").encode())) for r in docs.withColumn("key", key).collect()]
+    n_buckets = -(-sum(size for *_, size in rows) // (1 << 16))
+    buckets = [[] for _ in range(n_buckets)]
+    for doc_id, k, _ in rows:
+        buckets[((k % (1 << 64)) >> 20) % n_buckets].append((k, doc_id))
+    order = []
+    for number, bucket in enumerate(buckets):
+        bucket.sort()
+        order += [bucket[i][1] for i in np.random.default_rng([sharding.SEED, number]).permutation(len(bucket))]
+    got = placed(sharding.shuffle_into_shards(docs, 7, bucket_bytes=1 << 16))
+    assert n_buckets > 3 and list(got.doc_id) == order
+    assert list(got.shard) == [i * 7 // len(order) for i in range(len(order))]
+
+
 def test_the_order_looks_uniform(spark):
     rows = documents(spark, [(i, f"text {i}", "en", "a", 1) for i in range(4000)])
     order = placed(sharding.shuffle_into_shards(rows, 4, bucket_bytes=2000)).doc_id.to_numpy()
@@ -88,3 +107,14 @@ def test_the_mix_of_odd_rows(odd, none):
     again = mixing.mix_sources(odd.repartition(5))
     pick = ["doc_id", "size", "target", "copies"]
     assert sorted(map(str, mixed.select(pick).collect())) == sorted(map(str, again.select(pick).collect()))
+
+
+def test_no_document_is_taken_more_often_than_allowed_far_along_a_source(spark):
+    shift = 1 - np.arange(1, 5) / 2.0 ** 32
+    rows = [((1 << b) + d, float(s), float(r)) for b in range(16, 51) for d in range(-3, 3) for s in shift for r in (2.0, 1.9999999, 1.5, 0.3)]
+    df = spark.createDataFrame(rows, "place bigint, shift double, rate double")
+    got = df.withColumn("copies", mixing.copies_at(F.col("place"), F.col("rate"), F.col("shift"), 2.0)).toPandas()
+    assert (got[got.rate == 2].copies == 2).all() and got.copies.between(0, 2).all()
+    near = got[(got.place < 1 << 30) & (got.rate == 0.3)]
+    exact = [((p + 1) * 3 / 10 + s) // 1 - (p * 3 / 10 + s) // 1 for p, s in ((Fraction(int(p)), Fraction(s)) for p, s in zip(near.place, near["shift"]))]
+    assert (near.copies - np.array(exact, dtype=float)).abs().sum() <= 0.01 * len(near)
