@@ -3,14 +3,16 @@
 Each leaf is a product of intervals, one per feature on its path. A feature inside its interval
 counts 1, one that is left out counts the share of training rows that would pass, so the
 attribution of a leaf depends only on which of its few features a row satisfies. Those cases are
-tabulated per leaf and looked up for whole batches of rows.
+tabulated per leaf and looked up for whole batches of rows. Paths of many features are cut into
+slices with a table each, and the sums by number of known features are multiplied like
+polynomials, so tables grow with the leaves and not with two to the depth.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,12 +33,41 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 VALUES = "_values"
 SHAP = "_shap"
-_TABLE_BYTES = 64 << 20
+_WHOLE = 6  # features of a path tabulated together: 3 KB a leaf
+_SLICE = 3  # features of a slice of a longer path
 _BATCH_CELLS = 2_000_000
 
 
 # Trees as leaves -----------------------------------------------------------------------------
 
+def _weights(m: int) -> np.ndarray:
+    """Weight of a set of k of the other features, for each k, on a path of m features."""
+    return np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)])
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product of polynomials, coefficients along the last axis."""
+    out = np.zeros((*np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), a.shape[-1] + b.shape[-1] - 1))
+    for k in range(b.shape[-1]):
+        out[..., k:k + a.shape[-1]] += a * b[..., k:k + 1]
+    return out
+
+
+def _by_size(present: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Sums over the sets of k known features (last axis: k) of the product over all features."""
+    out = np.ones((*present.shape[:-1], 1))
+    for j in range(present.shape[-1]):
+        out = _times(out, np.stack([share[..., j], present[..., j]], axis=-1))
+    return out
+
+
+def _gains(present: np.ndarray, share: np.ndarray) -> Iterator[np.ndarray]:
+    """For each feature what knowing it changes, by number of known others (last axis)."""
+    for i in range(present.shape[-1]):
+        others = _by_size(np.delete(present, i, -1), np.delete(share, i, -1))
+        yield (present[..., i] - share[..., i])[..., None] * others
+
+
 def shapley(present: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Attribution of a leaf of value 1 over its features, along the last axis.
 
@@ -44,18 +75,51 @@ def shapley(present: np.ndarray, share: np.ndarray) -> np.ndarray:
     of rows that passes when the feature is unknown.
     """
     present, share = np.broadcast_arrays(present, share)
-    m = present.shape[-1]
-    weight = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
-    out = np.empty(present.shape)
-    for i in range(m):
-        by_size = [np.ones(present.shape[:-1])]  # products over the other features, by subset size
-        for j in range(m):
-            if j != i:
-                with_j = [c * present[..., j] for c in by_size]
-                without_j = [c * share[..., j] for c in by_size]
-                by_size = [without_j[0]] + [a + b for a, b in zip(without_j[1:], with_j)] + [with_j[-1]]
-        out[..., i] = (present[..., i] - share[..., i]) * sum(w * c for w, c in zip(weight, by_size))
-    return out
+    weight = _weights(present.shape[-1])
+    return np.stack([gain @ weight for gain in _gains(present, share)], axis=-1)
+
+
+def _slices(share: np.ndarray, value: np.ndarray) -> list[dict]:
+    """Tables of leaves × cases for each slice of the path.
+
+    The only slice of a short path holds the attributions; slices of a longer one hold the gains
+    within the slice, and the sums by size that the other slices are multiplied with.
+    """
+    m = share.shape[-1]
+    width = m if m <= _WHOLE else _SLICE
+    found = []
+    for first in range(0, m, width):
+        part = share[:, None, first:first + width]
+        w = part.shape[-1]
+        cases = ((np.arange(1 << w)[:, None] >> np.arange(w)) & 1).astype(float)
+        present, part = np.broadcast_arrays(cases, part)
+        tables = {"first": first, "bit": 1 << np.arange(w)}
+        if w == m:
+            tables["shap"] = shapley(present, part) * value[:, None, None]
+        else:
+            tables["gains"] = np.stack(list(_gains(present, part)), axis=-2) * value[:, None, None, None]
+            tables["by_size"] = _by_size(present, part)
+        found.append(tables)
+    return found
+
+
+def _looked_up(slices: Sequence[Mapping], present: np.ndarray) -> np.ndarray:
+    """Attributions, rows × leaves × features of the path."""
+    leaves, m = np.arange(present.shape[1]), present.shape[2]
+    case = [present[..., s["first"]:s["first"] + len(s["bit"])] @ s["bit"] for s in slices]
+    if len(slices) == 1:
+        return slices[0]["shap"][leaves, case[0]]
+    weight = _weights(m)
+    by_size = [s["by_size"][leaves, c] for s, c in zip(slices, case)]
+    out = []
+    for n, (s, c) in enumerate(zip(slices, case)):
+        outside = np.ones((1, 1, 1))
+        for other, sums in enumerate(by_size):
+            if other != n:
+                outside = _times(outside, sums)
+        held = [outside @ weight[k:k + outside.shape[-1]] for k in range(len(s["bit"]))]
+        out.append((s["gains"][leaves, c] * np.stack(held, axis=-1)[..., None, :]).sum(axis=-1))
+    return np.concatenate(out, axis=-1)
 
 
 def _leaves(nodes: pd.DataFrame) -> list[tuple]:
@@ -105,16 +169,11 @@ class Ensemble:
             feature = np.array([x[1] for x in leaves], dtype=int)
             order = np.argsort(feature, axis=None, kind="stable")
             columns, starts = np.unique(feature.ravel()[order], return_index=True)
-            group = {
+            groups.append({
                 "m": m, "value": value, "feature": feature, "order": order, "columns": columns, "starts": starts,
                 "lower": np.array([x[2] for x in leaves]), "upper": np.array([x[3] for x in leaves]),
-                "share": np.array([x[4] for x in leaves]),
-            }
-            if len(leaves) * m * (8 << m) <= _TABLE_BYTES:
-                cases = (np.arange(1 << m)[:, None] >> np.arange(m)) & 1
-                group["table"] = shapley(cases[None, :, :].astype(float), group["share"][:, None, :]) \
-                    * value[:, None, None]
-            groups.append(group)
+                "slices": _slices(np.array([x[4] for x in leaves]), value),
+            })
         return Ensemble(groups, base, width)
 
     def explain(self, x: np.ndarray) -> np.ndarray:
@@ -125,16 +184,11 @@ class Ensemble:
 def explain_rows(groups: Sequence[Mapping], width: int, x: np.ndarray) -> np.ndarray:
     out = np.zeros((len(x), width))
     for g in groups:
-        leaves = len(g["value"])
-        step = max(1, _BATCH_CELLS // (leaves * g["m"] * (1 if "table" in g else g["m"])))
-        bit = 1 << np.arange(g["m"])
+        step = max(1, _BATCH_CELLS // (len(g["value"]) * g["m"] * len(g["slices"])))
         for start in range(0, len(x), step):
             cells = x[start:start + step][:, g["feature"]]
             present = (cells > g["lower"]) & (cells <= g["upper"])
-            if "table" in g:
-                part = g["table"][np.arange(leaves), present @ bit]
-            else:
-                part = shapley(present.astype(float), g["share"]) * g["value"][:, None]
+            part = _looked_up(g["slices"], present)
             flat = part.reshape(len(cells), -1)[:, g["order"]]
             out[start:start + step, g["columns"]] += np.add.reduceat(flat, g["starts"], axis=1)
     return out

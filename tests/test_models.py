@@ -162,6 +162,24 @@ def test_leaf_attribution_equals_all_subsets():
         assert np.allclose(attribution.shapley(present, share), brute_force(present, share))
 
 
+@pytest.mark.parametrize("m", [1, 4, 6, 7, 8, 9, 11])
+def test_slices_of_a_path_equal_all_subsets(m):
+    rng = np.random.default_rng(m)
+    present, share, value = rng.random((5, 3, m)) < 0.6, rng.random((3, m)), rng.normal(size=3)
+    got = attribution._looked_up(attribution._slices(share, value), present)
+    for row in range(5):
+        for leaf in range(3):
+            assert np.allclose(got[row, leaf], value[leaf] * brute_force(present[row, leaf], share[leaf]))
+
+
+def test_tables_grow_with_the_leaves_and_not_with_the_depth():
+    def size(m):
+        slices = attribution._slices(np.full((10, m), 0.5), np.ones(10))
+        return sum(v.nbytes for s in slices for v in s.values() if isinstance(v, np.ndarray))
+
+    assert size(6) <= 10 * 3200 and size(40) <= 10 * 40 * 400
+
+
 def test_boosted_attributions_add_up(table, regressor, monkeypatch):
     explainer = attribution.explain_boosted(regressor, table)
     rows = boosted.predict(regressor, table)
@@ -171,10 +189,11 @@ def test_boosted_attributions_add_up(table, regressor, monkeypatch):
     used = {n for g in explainer.ensemble.groups for n in np.unique(g["feature"])}
     unused = [i for i in range(shap.shape[1]) if i not in used]
     assert len(unused) and not shap[:, unused].any()
-    monkeypatch.setattr(attribution, "_TABLE_BYTES", 0)
-    slow = attribution.explain_boosted(regressor, table)
+    monkeypatch.setattr(attribution, "_WHOLE", 1)
+    sliced = attribution.explain_boosted(regressor, table)
     x = np.stack(got["values"])[:200]
-    assert np.allclose(slow.ensemble.explain(x), explainer.ensemble.explain(x))
+    assert max(len(g["slices"]) for g in sliced.ensemble.groups) > 1
+    assert np.allclose(sliced.ensemble.explain(x), explainer.ensemble.explain(x))
     importance = attribution.shap_importance(explainer.long(table, ["k"])).collect()
     assert importance[0]["feature"] == "numeric__quantity_sum_mean_7d"
     assert len(importance) == len(explainer.names) == 22 + 5
