@@ -60,6 +60,19 @@ def test_a_row_repeated_very_often_is_spread(spark):
     assert len(got) == 6000 and share.between(0.42, 0.58).all()
 
 
+def test_copies_lie_alike_however_the_rows_are_split(spark, monkeypatch):
+    """Copies that differ in a third column, copies that do not, and runs of copies in several tasks."""
+    monkeypatch.setattr(sharding, "RUN", 100)
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"),
+        F.when(F.col("id") < 1200, "a").otherwise(F.col("id").cast("string")).alias("source"))
+    split = [placed(sharding.shuffle_into_shards(rows.repartition(n), 6, bucket_bytes=3000)) for n in (1, 5, 9)]
+    assert split[0].equals(split[1]) and split[0].equals(split[2])
+    assert sorted(split[0].source) == sorted(r["source"] for r in rows.collect())
+    share = split[0].groupby("shard").doc_id.apply(lambda x: (x == 7).mean())
+    assert share.between(0.55, 0.78).all()
+
+
 def test_shards_of_odd_rows(odd, none, tmp_path):
     got = sharding.shuffle_into_shards(odd, 4)
     assert same_columns(odd, got, ["shard", "slot"])
