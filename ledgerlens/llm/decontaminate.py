@@ -11,8 +11,9 @@ lowers k for short items; items of under eight characters must appear unchanged.
 
 Both sides are compared in lower case with white space runs as one space. Null and empty texts match
 nothing and are matched by nothing. Repeated rows match alike; ties in distance go to the first
-stretch. Items are sent to the tasks in blocks of bounded size, all of which meet every document in
-the same pass.
+stretch. Items are sent to the tasks in blocks of bounded size. A pass over the documents takes a
+bounded number of blocks, so what is held at once does not grow with the benchmark; a benchmark of
+more blocks takes more passes, whose hits are added up.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.llm.common import as_row, field, unpack
+from ledgerlens.session import materialise
 
 RATE = 0.1
 PIECE = 8
 BLOCK_BYTES = 16 << 20
+BLOCKS = 4  # met in one pass over the documents
 _BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 20
@@ -241,15 +244,18 @@ class Matcher:
         return found
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about `block_bytes`; a block is collected by a hash of the item, one at a time."""
+def _passes(benchmark: DataFrame, block_bytes: int, blocks: int) -> Iterator[list[list[tuple[int, str]]]]:
+    """The items in blocks of about `block_bytes` by a hash of the item, `blocks` of them at a time."""
     items = benchmark.select(field("item_id").cast("long").alias("item_id"), field("text").alias("text")) \
         .where("text is not null").distinct()
     volume = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n = max(1, -(-volume // block_bytes))
-    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [sorted(((r["item_id"], r["text"]) for r in items.where(number == i).collect()),
-                   key=lambda r: (r[0] is None, r[0], r[1])) for i in range(n)]
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    if n > 1:
+        items = materialise(items)
+    for first in range(0, n, blocks):
+        yield [sorted(((r["item_id"], r["text"]) for r in items.where(F.col("block") == i).collect()),
+                      key=lambda r: (r[0] is None, r[0], r[1])) for i in range(first, min(first + blocks, n))]
 
 
 def _searcher(shared, rate: float):
@@ -264,16 +270,29 @@ def _searcher(shared, rate: float):
     return search
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES,
+               blocks: int = BLOCKS) -> DataFrame:
     """All rows and columns of `docs` with `hits`, an array of matches (a column of that name is replaced).
 
-    Of several rows with one item_id each text counts; the hits then repeat the id.
+    Of several rows with one item_id each text counts; the hits then repeat the id. A further pass,
+    needed above `blocks` * `block_bytes` of items, starts from a written table of the rows and hits so far.
     """
     context = docs.sparkSession.sparkContext
-    # Marked as not repeatable, or a filter on the hits would run the search a second time.
-    parts = [_searcher(context.broadcast(rows), rate).asNondeterministic()(field("text")) for rows in _blocks(benchmark, block_bytes)]
-    hits = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return unpack(docs.select(as_row(docs), hits.alias("hits")), docs.columns, {"hits": F.col("hits")})
+    marked, shared = None, []
+    for rows in _passes(benchmark, block_bytes, blocks):
+        if marked is not None:
+            marked = materialise(marked)
+            for s in shared:
+                s.unpersist()
+        shared = [context.broadcast(r) for r in rows]
+        text = field("text") if marked is None else F.col("row").getField("text")
+        # Marked as not repeatable, or a filter on the hits would run the search a second time.
+        parts = [_searcher(s, rate).asNondeterministic()(text) for s in shared]
+        if marked is not None:
+            parts.insert(0, F.col("hits"))
+        hits = F.concat(*parts) if len(parts) > 1 else parts[0]
+        marked = (docs.select(as_row(docs), hits.alias("hits")) if marked is None else marked.select("row", hits.alias("hits")))
+    return unpack(marked, docs.columns, {"hits": F.col("hits")})
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:

@@ -98,6 +98,11 @@ def test_blocks_of_items_give_the_same_matches(spark, docs):
     one = dc.find_items(docs, benchmark).select("doc_id", F.explode("hits.item_id").alias("i")).collect()
     many = dc.find_items(docs, benchmark, block_bytes=2000).select("doc_id", F.explode("hits.item_id").alias("i")).collect()
     assert sorted(one) == sorted(many) and one
+    passes = list(dc._passes(benchmark, 2000, 2))
+    assert len(passes) > 1 and max(map(len, passes)) == 2
+    repeated = dc.find_items(docs, benchmark, block_bytes=2000, blocks=2)
+    assert sorted(repeated.select("doc_id", F.explode("hits.item_id").alias("i")).collect()) == sorted(one)
+    assert repeated.count() == docs.count()
 
 
 def test_odd_rows(spark, odd, none):
