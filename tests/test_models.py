@@ -126,6 +126,22 @@ def test_search_scores_every_forest_in_one_scan_as_each_on_its_own(spark, table)
     assert np.allclose(got, want, rtol=0, atol=1e-9)
 
 
+def test_no_tree_of_a_search_passes_through_the_driver(table, monkeypatch):
+    """The published grid has 13 million nodes; they stay in a table, and blocks of rows give the same scores."""
+    grid = {"n_estimators": [5, 10], "max_samples": [32], "max_features": [0.75, 1.0], "contamination": [0.01]}
+    want = sorted(tuple(r) for r in forest.search_forest(table, KEYS, grid)[0].collect())
+
+    def refused(*_):
+        raise AssertionError("trees in the driver")
+
+    monkeypatch.setattr(type(table), "toPandas", refused)
+    monkeypatch.setattr(type(table.sparkSession.sparkContext), "broadcast", refused)
+    monkeypatch.setattr(forest, "_SCORED_ROWS", 300)
+    got = sorted(tuple(r) for r in forest.search_forest(table, KEYS, grid)[0].collect())
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], rtol=0, atol=1e-12)
+
+
 def test_separation_of_few_rows_is_zero(spark):
     assert forest.extreme_separation(spark.range(9).select(F.col("id").cast("double").alias("s")), "s").first()[0] == 0.0
     twenty = spark.range(20).select(F.col("id").cast("double").alias("s"), F.lit(1).alias("g"))
