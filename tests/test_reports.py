@@ -127,6 +127,29 @@ def test_sensor_files(spark, tmp_path):
     assert out[0]["s1_std"] == 1.0 and out[0]["s1_rms"] == 1.0 and out[0]["s4_mean"] == 4.0 and "s5_mean" not in out[0]
 
 
+def test_packed_signals_are_few_files_with_every_step(spark, tmp_path):
+    path = str(tmp_path / "packed")
+    steps = [(i % 700, f"f{i % 3}", float(i) if i % 10 else None) for i in range(2100)] + [(None, "f0", 1.5), (1, None, 2.5)]
+    df = spark.createDataFrame(steps, "run long, file string, x double").coalesce(2).withColumn("y", F.col("x") / 3)
+    signals.sink_packed_signals(df, path, "run", "file", ["x", "y"])
+    assert len(list((tmp_path / "packed").glob("part-*"))) == 2
+    back = signals.scan_packed_signals(spark, path)
+    want = df.select(F.col("run").cast("string").alias("folder"), F.col("file").alias("file_name"), F.posexplode(F.array("x", "y")).alias("i", "value")) \
+        .select("folder", "file_name", (F.col("i") + 1).cast("int").alias("sensor"), "value")
+    assert back.exceptAll(want).count() == 0 and want.exceptAll(back).count() == 0
+    assert signals.scan_packed_signals(spark, path, max_sensors=1).count() == 2102
+
+
+def test_registered_signal_queries_do_not_write_a_file_per_step(spark, tmp_path, monkeypatch):
+    """One folder per run, or one per run and hour, had thousands of files at the smallest scale."""
+    from workload import tables as queries
+
+    monkeypatch.setattr(queries, "path_for", lambda _, label: str(tmp_path / label))
+    for query in (queries.scan_signal_files, queries.sensor_files_to_features):
+        assert query(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(list(tmp_path.rglob("part-*"))) <= 16
+
+
 def test_predicates_on_measures_reach_the_files(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.sink_parquet(spark.createDataFrame([(1, 2.0), (2, float("nan"))], "k int, x double"), path)
