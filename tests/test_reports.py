@@ -150,6 +150,22 @@ def test_registered_signal_queries_do_not_write_a_file_per_step(spark, tmp_path,
     assert len(list(tmp_path.rglob("part-*"))) <= 16
 
 
+def test_sales_lines_are_not_dealt_out_by_customer(spark):
+    from workload import views
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = views.joined_sales(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    top = next(i for i, line in enumerate(plan) if "hashpartitioning(o_custkey" in line)
+    below = [line for line in plan[top + 1:]]
+    end = next((i for i, line in enumerate(below) if depth(line) <= depth(plan[top])), len(below))
+    assert "o_orderkey" in "".join(below[:end]) and "l_orderkey" not in "".join(below[:end])
+
+
 def test_predicates_on_measures_reach_the_files(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.sink_parquet(spark.createDataFrame([(1, 2.0), (2, float("nan"))], "k int, x double"), path)
