@@ -122,3 +122,24 @@ def test_rebuild_steps(spark, random_sales):
     again = features.rebuild_flags(features.rebuild_rolling(features.rebuild_calendar(broken)))
     assert again.select(*built.columns).exceptAll(built).count() == 0
     assert built.agg(F.min("Order_Date")).first()[0] >= date(2022, 1, 1)
+
+
+def test_tasks_over_sales_do_not_grow_with_the_table(spark, monkeypatch):
+    """A task counted the distinct orders of a whole split of 128 MB, and spilled."""
+    from ledgerlens import session
+    from workload import registry, views
+
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {n: spark.conf.get(n, None) for n in names}
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 300)
+    registry._MADE.clear()
+    try:
+        sales = views.sales(spark, "/root/testdata/sf0.001")
+        rows = [r["n"] for r in sales.groupBy(F.col("_metadata.file_path")).agg(F.count("Order_ID").alias("n")).collect()]
+        assert max(rows) <= 300 and sum(rows) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+        assert int(spark.conf.get(names[0])) >= sum(rows) / 300 and int(spark.conf.get(names[1])) >= sum(rows) / 300
+    finally:
+        registry._MADE.clear()
+        for n, value in before.items():
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
