@@ -143,3 +143,14 @@ def test_tasks_over_sales_do_not_grow_with_the_table(spark, monkeypatch):
         registry._MADE.clear()
         for n, value in before.items():
             spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+
+
+def test_sales_are_summed_once_and_feature_rows_rounded_before_the_join(spark):
+    """Five regions and both sides of an alignment read the sales each; every sale was rounded in 24 columns."""
+    from workload import tables
+
+    sf = "/root/testdata/sf0.001"
+    plan = lambda query: query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Order_ID" not in plan(tables.union_groups) and "Order_ID" not in plan(tables.join_align_positional)
+    above = plan(tables.join_features_to_sales).split("Join LeftOuter")[0]
+    assert "round(" not in above and "round(" in plan(tables.join_features_to_sales)
