@@ -298,6 +298,28 @@ def test_equal_settings_share_a_fit_and_fewer_trees_are_a_prefix(table, monkeypa
     assert got == pytest.approx(np.mean(errors), rel=0.02)
 
 
+def test_the_hybrid_search_covers_the_published_grid(spark, table, monkeypatch):
+    """Two combinations of four trees were compared; here 150 and 200 trees stand as 1 and 2, all else is the query's."""
+    import duckdb
+    from workload import models, registry
+
+    names = list(boosted.PARAM_GRID)
+    wanted = [(i, *map(float, c)) for i, c in enumerate(itertools.product(*boosted.PARAM_GRID.values()))]
+    assert len(wanted) == 48
+    listed = duckdb.sql(registry.ORACLES["hybrid_fit"])
+    assert listed.columns == ["combination", *names, "has_error", "best_has_least"]
+    assert sorted(listed.fetchall()) == [(*w, True, True) for w in wanted]
+    rows = table.withColumns({"Order_Date": F.add_months("Order_Date", -300), "anomaly_score": F.lit(0.1), "anomaly_flag": F.lit(0)})
+    monkeypatch.setattr(models, "scored_table", lambda *_: rows)
+    settings, fits, real = boosted.tree_params, [], boosted.GBTRegressor.fit
+    monkeypatch.setattr(boosted, "tree_params", lambda p: {**settings(p), "maxIter": {150: 1, 200: 2}[p["n_estimators"]]})
+    monkeypatch.setattr(boosted.GBTRegressor, "fit", lambda self, *a: fits.append(1) or real(self, *a))
+    found = models.hybrid_fit(spark, "unused")
+    assert found.columns == listed.columns
+    assert sorted(map(tuple, found.collect())) == [(*w, True, True) for w in wanted]
+    assert len(fits) == 3 * 8 + 1
+
+
 def test_each_fold_is_imputed_by_the_others(spark):
     """Fold 2 is extreme, so the medians without it differ from those of all rows."""
     rows = [(f, 1000.0 if f == 2 else float(i), "z" if f == 2 else "a") for f in range(3) for i in range(11 + 30 * (f == 2))]
